@@ -35,7 +35,8 @@ def heavy_hitters(slim: DataFrame, tracked: int = TRACKED, heavy: int = HEAVY) -
     """
     keyed = slim.withColumn("h", F.xxhash64("sha"))
     level = keyed.groupBy((F.spark_partition_id() % MERGERS).alias("m")).agg(F.expr(f"approx_top_k_accumulate(h, {tracked})").alias("s"))
-    top = level.agg(F.expr(f"approx_top_k_combine(s, {tracked})").alias("s")).select(F.explode(F.expr(f"approx_top_k_estimate(s, {heavy})")).alias("t"))
+    # Grouped, as a partition without sketches must send none.
+    top = level.groupBy(F.col("m") >= 0).agg(F.expr(f"approx_top_k_combine(s, {tracked})").alias("s")).select(F.explode(F.expr(f"approx_top_k_estimate(s, {heavy})")).alias("t"))
     guess = top.filter("t.count > 1").select(F.col("t.item").alias("h"))
     counted = keyed.join(F.broadcast(guess), "h", "left_semi").groupBy("sha", "doc_id").agg(F.count(F.lit(1)).alias("c"))
     # Two levels, both combined before the shuffle: a hot digest with a hot id is one row a task.
