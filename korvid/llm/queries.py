@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F  # noqa: F401
 
-from korvid.llm import exact
+from korvid.llm import bpe, exact
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -37,3 +37,10 @@ def _query(name: str, oracle: str | None = None):
 )
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.decisions(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@_query("op7_byte_bpe")
+def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return bpe.encode_table(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
