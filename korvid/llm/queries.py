@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F  # noqa: F401
 
-from korvid.llm import bpe, exact
+from korvid.llm import bpe, exact, secrets, warc
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -44,3 +44,30 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     return bpe.encode_table(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
+@_query(
+    "op1_warc_dictionary",
+    """
+    WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+    d AS (
+      SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes, max(page_id) OVER (PARTITION BY h) AS keep,
+             array_to_string(list_transform(range(1, 41), lambda i: to_base(strpos('0123456789abcdef', substr(sha1(h), i, 1)) - 1, 2, 4)), '') AS bits
+      FROM p)
+    SELECT page_id, payload_bytes,
+           array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+             1 + 16 * CAST(substr(bits, 5 * i + 1, 1) AS INT) + 8 * CAST(substr(bits, 5 * i + 2, 1) AS INT) + 4 * CAST(substr(bits, 5 * i + 3, 1) AS INT)
+             + 2 * CAST(substr(bits, 5 * i + 4, 1) AS INT) + CAST(substr(bits, 5 * i + 5, 1) AS INT), 1)), '') AS payload_digest,
+           CASE WHEN page_id = keep THEN 'response' ELSE 'revisit' END AS record_type,
+           CASE WHEN page_id = keep THEN NULL ELSE keep END AS refers_to
+    FROM d
+    """,
+)
+def op1_warc_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = warc.round_trip(_read(spark, sf_dir, "pages"))
+    return rows.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@_query("op10_secret_scan")
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest_columns(secrets.scan(_read(spark, sf_dir, "documents").select("doc_id", "source", "text")))
