@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F  # noqa: F401
 
-from korvid.llm import bpe, exact, secrets, warc
+from korvid.llm import bpe, exact, quality, secrets, warc
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -71,3 +71,8 @@ def op1_warc_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op10_secret_scan")
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest_columns(secrets.scan(_read(spark, sf_dir, "documents").select("doc_id", "source", "text")))
+
+
+@_query("op2_quality_bradley_terry")
+def op2_quality_bradley_terry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.scores(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"), held_out=2)
