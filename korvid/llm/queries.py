@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F  # noqa: F401
 
-from korvid.llm import bpe, exact, quality, secrets, warc
+from korvid.llm import bpe, exact, near, quality, secrets, warc
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -76,3 +76,9 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op2_quality_bradley_terry")
 def op2_quality_bradley_terry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scores(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"), held_out=2)
+
+
+@_query("op8_minhash_near_dedup")
+def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = near.near_duplicates(_read(spark, sf_dir, "documents").select("doc_id", "text"), words=4)
+    return rows.select("doc_id", "n_shingles", "component_id", "kept")
