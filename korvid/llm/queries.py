@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F  # noqa: F401
 
-from korvid.llm import bpe, exact, near, quality, secrets, warc
+from korvid.llm import bpe, exact, near, quality, secrets, suffix, warc
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -82,3 +82,8 @@ def op2_quality_bradley_terry(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = near.near_duplicates(_read(spark, sf_dir, "documents").select("doc_id", "text"), words=4)
     return rows.select("doc_id", "n_shingles", "component_id", "kept")
+
+
+@_query("op9_suffix_repeats")
+def op9_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.remove_repeats(_read(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
