@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from korvid.llm import bpe, decontaminate, exact, lines, near, quality, secrets, suffix, warc
+from korvid.llm import bpe, decontaminate, exact, html, lines, near, quality, secrets, suffix, warc
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -116,3 +116,8 @@ def op3_line_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op5_pigeonhole_decontamination")
 def op5_pigeonhole_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
+@_query("op4_html_main_text")
+def op4_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(_read(spark, sf_dir, "pages"))
