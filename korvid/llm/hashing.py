@@ -17,7 +17,7 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> _U(31))
 
 
-@lru_cache(2)
+@lru_cache(3)
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE to the powers below n, and their inverses, modulo 2**64."""
     up, down = np.full(n, BASE, _U), np.full(n, pow(BASE, -1, 1 << 64), _U)

@@ -41,9 +41,9 @@ from korvid.llm.hashing import byte_values, mix, powers
 
 LENGTH, GRAM = 400, 32
 #: Starts that are looked at together; a longer text is read in overlapping slices.
-SLICE = 4 << 20
+SLICE = 1 << 20
 #: Contexts of one piece that may meet in a task, and bytes of contexts sorted at a time.
-HOT, SORT_BYTES = 20_000, 8 << 20
+HOT, SORT_BYTES = 4_000, 1 << 20
 _U = np.uint64
 _POS = _U((1 << 23) - 1)
 
@@ -52,7 +52,7 @@ class Hashed:
     """Prefix polynomial hashes of bytes; ``seed`` picks the byte values."""
 
     def __init__(self, data: np.ndarray, seed: int = 0):
-        up, self.down = powers(1 << max(23, len(data).bit_length()))
+        up, self.down = powers(1 << max(20, len(data).bit_length()))
         values = byte_values() if not seed else mix(byte_values() + _U(seed) * _U(0x9E3779B97F4A7C15))
         self.h = np.empty(len(data) + 1, _U)
         self.h[0] = 0
