@@ -18,8 +18,23 @@ def work_dir(spark: SparkSession) -> str:
     return (found or "file:///tmp/checkpoints").rstrip("/")
 
 
+_made: list[str] = []
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{work_dir(spark)}/korvid/{name}-{uuid.uuid4().hex}"
+    _made.append(f"{work_dir(spark)}/korvid/{name}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Delete the folders that this process has made in the shared folder.
+
+    To be called once the results that were built on them have been written:
+    they are read again if an executor is lost, so no operator deletes them.
+    """
+    while _made:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_made.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import os
 import random
 import re
 
@@ -60,6 +61,16 @@ def test_odd_and_empty_pages(spark, tmp_path, name):
         assert queries.QUERIES[name](spark, f"{tmp_path}/{at}").count() == len(r)
 
 
+def test_clean_up(spark):
+    from korvid.llm import common
+
+    common.staged(spark.range(3), "x")
+    at = common._made[-1].removeprefix("file://")
+    assert os.path.isdir(at)
+    common.clean_up(spark)
+    assert not os.path.exists(at) and not common._made
+
+
 # 1. WARC.
 
 
