@@ -40,10 +40,12 @@ def windows(docs: DataFrame, window: int = WINDOW, long_line: int = LONG_LINE) -
         F.transform(_split("text"), lambda x, i: F.struct(i.alias("at"), F.xxhash64(x).alias("h"), (F.length(x) - F.length(F.translate(x, " ", "")) + 1).alias("words"), (F.length(F.trim(x)) == 0).alias("blank"))),
         lambda s: ~s["blank"],
     )
-    d = docs.select("doc_id", "key", numbered.alias("ls")).withColumn("hs", F.transform("ls", lambda s: s["h"])).withColumn("m", F.size("ls"))
+    # A generated column is computed once; a projected one would be computed anew for each line.
+    d = docs.select("doc_id", "key", F.explode(F.array(numbered)).alias("ls")).withColumn("m", F.size("ls"))
 
     def run(i: Column) -> Column:
-        part, own = F.slice("hs", i + 1, window), F.slice("ls", i + 1, window)
+        own = F.slice("ls", i + 1, window)
+        part = F.transform(own, lambda s: s["h"])
         low = F.array_min(part)
         return F.struct(
             i.alias("i"), (i + F.array_position(part, low).cast("int") - 1).alias("p"), low.alias("fp"), F.xxhash64(part).alias("w"), F.transform(own, lambda s: s["at"]).alias("at")
@@ -76,7 +78,10 @@ def dedup_lines(docs: DataFrame, window: int = WINDOW, long_line: int = LONG_LIN
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("key"))
     gone = staged(removed_lines(texts, window, long_line), "line-removed").select(F.col("doc_id").alias("i"), F.col("key").alias("k"), "gone")
     joined = texts.join(gone.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("key") == F.col("k")), "left")
-    out = joined.select("doc_id", _split("text").alias("lines"), "gone")
+    out = joined.select("doc_id", "text", "gone", F.explode(F.array(_split("text"))).alias("lines"))
     kept = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone"))
-    left = F.when(F.col("gone").isNull(), F.col("lines")).otherwise(F.transform(kept, lambda i: F.get("lines", i)))
-    return out.select("doc_id", F.size("lines").cast("long").alias("n_lines"), F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long").alias("n_removed"), F.array_join(left, "\n").alias("text"))
+    left = F.array_join(F.transform(kept, lambda i: F.get("lines", i)), "\n")
+    return out.select(
+        "doc_id", F.size("lines").cast("long").alias("n_lines"), F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long").alias("n_removed"),
+        F.when(F.col("gone").isNull(), F.coalesce("text", F.lit(""))).otherwise(left).alias("text"),
+    )
