@@ -109,7 +109,8 @@ class Writer:
         self.size += len(frame)
 
     def _begin(self) -> None:
-        self.out = self.files.open_output_stream(self.path)
+        # compression=None: by its name the file would be compressed once more as a whole.
+        self.out = self.files.open_output_stream(self.path, compression=None)
         trained = build_dictionary(self.waiting)
         if trained:
             raw = trained.as_bytes()
@@ -222,7 +223,7 @@ def read_archives(manifest: DataFrame) -> DataFrame:
             for path in batch.column("path").to_pylist():
                 files, at = fs.FileSystem.from_uri(path)
                 rows = []
-                with files.open_input_stream(at) as stream:
+                with files.open_input_stream(at, compression=None) as stream:
                     for rec in read_records(stream):
                         rows.append(_row(rec, path))
                         if len(rows) == 5000:
