@@ -78,8 +78,8 @@ def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that :func:`decisions` keeps, with all their columns.
 
-    The smaller side, what goes, is joined back; Spark broadcasts it where its
-    measured size allows and shuffles otherwise.
+    The smaller side, what goes, is joined back as the hashed side of a shuffled
+    join, so that texts are not sorted.
     """
     h, j, k = fresh(docs, "sha", "gone_id", "gone_sha")
     dropped = staged(decisions(docs, id_col, text_col).filter("NOT kept").select("doc_id", "keep_id", "text_sha256"), "exact-dropped")
