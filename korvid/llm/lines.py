@@ -68,7 +68,9 @@ def removed_lines(docs: DataFrame, window: int = WINDOW, long_line: int = LONG_L
     each = wins.select("doc_id", "key", F.explode("wins").alias("x")).select("doc_id", "key", "x.i", "x.fp", "x.w", "x.at")
     near = each.join(again, "fp", "left_semi")
     place = F.struct(F.col("doc_id").isNull(), "doc_id", "key", "i")
-    first = near.groupBy("w").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("c")).filter("c > 1").select("w", "first")
+    # Staged, so that the join does not take over the aggregation's partitions: those of a common
+    # window can then be split where the join is skewed.
+    first = staged(near.groupBy("w").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("c")).filter("c > 1").select("w", "first"), "line-first")
     later = near.join(first, "w").filter(place != F.col("first"))
     return later.select("doc_id", "key", F.explode("at").alias("at")).groupBy("doc_id", "key").agg(F.collect_set("at").alias("gone"))
 
