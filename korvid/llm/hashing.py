@@ -66,7 +66,7 @@ def shingle_sets(raws: list[bytes], k: int) -> list[np.ndarray]:
     w, count = words(raws)
     n = len(w)
     full = w.copy()
-    for i in range(1, k):
+    for i in range(1, min(k, n)):
         full[: n - i] = mix(full[: n - i] * _U(BASE) + w[i:])
     out, at = [], 0
     for c in count.tolist():

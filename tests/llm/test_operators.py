@@ -339,6 +339,17 @@ def test_near_dedup_against_brute_force(spark, monkeypatch, block):
     assert got == brute.near_components(rows)
 
 
+@pytest.mark.parametrize("words", [4, 5])
+def test_near_dedup_of_one_short_text(spark, words):
+    """A batch that holds fewer words than a shingle, as the last one of a partition may."""
+    rows = [(n, " ".join(f"w{n}x{i}" for i in range(n))) for n in range(words + 1)]
+    for n, t in rows:
+        assert [len(s) for s in hashing.shingle_sets([t.encode()], words)] == [min(n, 1)]
+    alone = spark.createDataFrame(spark.sparkContext.parallelize(rows, len(rows)), "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near.near_duplicates(alone, words=words).collect()}
+    assert got == {n: (min(n, 1), n, True) for n, _ in rows}
+
+
 def test_sketches_estimate_similarity():
     r = np.random.default_rng(1)
     a = np.unique(r.integers(0, 2**63, 3000).astype(np.uint64))
