@@ -5,6 +5,10 @@ earlier in the corpus is deleted where it occurs again.  Order is by doc_id
 (null last), then the text's hash, then place.  Blank lines belong to no run
 and stay.
 
+With ``passage`` words a run is any sequence of equal lines that has ``WINDOW``
+lines or so many words together, split on all white space.  Longer sequences
+consist of windows of WINDOW lines, so only shorter ones are windows of their own.
+
 1. Each window of line hashes selects its least one: that is its fingerprint.
    Equal windows select the same, so no repeated run of WINDOW lines is missed.
 2. Selected positions are counted by fingerprint (combined before the shuffle).
@@ -26,25 +30,31 @@ from pyspark.sql import functions as F
 
 from korvid.llm.common import staged
 
-WINDOW, LONG_LINE = 3, 50
+WINDOW, LONG_LINE, PASSAGE = 3, 50, 50
+#: A word: characters other than control and Unicode white space.
+WORD = r"[^\x09-\x0D\x1C-\x20\x{85}\p{Z}]+"
 
 
 def _split(text: str | Column) -> Column:
     return F.split(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")), "\n", -1)
 
 
-def windows(docs: DataFrame, window: int = WINDOW, long_line: int = LONG_LINE) -> DataFrame:
+def windows(docs: DataFrame, window: int = WINDOW, long_line: int = LONG_LINE, passage: int | None = None) -> DataFrame:
     """doc_id, key and wins: structs of place i in the numbered lines, n lines, p and fp (selected
     position and hash), w (hash of the window), and at (numbers of its lines in the text)."""
+
+    def words(x: Column) -> Column:
+        return F.regexp_count(x, F.lit(WORD)) if passage else F.length(x) - F.length(F.translate(x, " ", "")) + 1
+
     numbered = F.filter(
-        F.transform(_split("text"), lambda x, i: F.struct(i.alias("at"), F.xxhash64(x).alias("h"), (F.length(x) - F.length(F.translate(x, " ", "")) + 1).alias("words"), (F.length(F.trim(x)) == 0).alias("blank"))),
+        F.transform(_split("text"), lambda x, i: F.struct(i.alias("at"), F.xxhash64(x).alias("h"), words(x).alias("words"), (F.length(F.trim(x)) == 0).alias("blank"))),
         lambda s: ~s["blank"],
     )
     # A generated column is computed once; a projected one would be computed anew for each line.
     d = docs.select("doc_id", "key", F.explode(F.array(numbered)).alias("ls")).withColumn("m", F.size("ls"))
 
-    def run(i: Column) -> Column:
-        own = F.slice("ls", i + 1, window)
+    def run(i: Column, n: int = window) -> Column:
+        own = F.slice("ls", i + 1, n)
         part = F.transform(own, lambda s: s["h"])
         low = F.array_min(part)
         return F.struct(
@@ -54,15 +64,21 @@ def windows(docs: DataFrame, window: int = WINDOW, long_line: int = LONG_LINE) -
     def single(s: Column, i: Column) -> Column:
         return F.struct(i.alias("i"), i.alias("p"), s["h"].alias("fp"), F.xxhash64(F.array(s["h"])).alias("w"), F.array(s["at"]).alias("at"))
 
+    def short(n: int) -> Column:
+        total = lambda i: sum((F.get("ls", i + k)["words"] for k in range(1, n)), F.get("ls", i)["words"])
+        return F.filter(F.transform(F.sequence(F.lit(0), F.col("m") - n), lambda i: F.when(total(i) >= passage, run(i, n))), lambda x: x.isNotNull())
+
     none = F.array().cast("array<struct<i:int,p:int,fp:bigint,w:bigint,at:array<int>>>")
-    runs = F.when(F.col("m") >= window, F.transform(F.sequence(F.lit(0), F.col("m") - window), run)).otherwise(none)
+    runs = F.when(F.col("m") >= window, F.transform(F.sequence(F.lit(0), F.col("m") - window), lambda i: run(i))).otherwise(none)
+    if passage:
+        return d.select("doc_id", "key", F.concat(runs, *[F.when(F.col("m") >= n, short(n)).otherwise(none) for n in range(1, window)]).alias("wins"))
     long = F.filter(F.transform("ls", lambda s, i: F.when(s["words"] >= long_line, single(s, i))), lambda x: x.isNotNull())
     return d.select("doc_id", "key", F.concat(runs, long).alias("wins"))
 
 
-def removed_lines(docs: DataFrame, window: int = WINDOW, long_line: int = LONG_LINE) -> DataFrame:
+def removed_lines(docs: DataFrame, window: int = WINDOW, long_line: int = LONG_LINE, passage: int | None = None) -> DataFrame:
     """doc_id, key, gone (numbers of the lines that are deleted) of the documents that lose any."""
-    wins = staged(windows(docs, window, long_line).filter(F.size("wins") > 0), "line-windows")
+    wins = staged(windows(docs, window, long_line, passage).filter(F.size("wins") > 0), "line-windows")
     selected = wins.select("doc_id", "key", F.explode(F.array_distinct(F.transform("wins", lambda x: F.struct(x["p"].alias("p"), x["fp"].alias("fp"))))).alias("s"))
     again = selected.groupBy(F.col("s.fp").alias("fp")).agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("fp")
     each = wins.select("doc_id", "key", F.explode("wins").alias("x")).select("doc_id", "key", "x.i", "x.fp", "x.w", "x.at")
@@ -75,10 +91,10 @@ def removed_lines(docs: DataFrame, window: int = WINDOW, long_line: int = LONG_L
     return later.select("doc_id", "key", F.explode("at").alias("at")).groupBy("doc_id", "key").agg(F.collect_set("at").alias("gone"))
 
 
-def dedup_lines(docs: DataFrame, window: int = WINDOW, long_line: int = LONG_LINE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, window: int = WINDOW, long_line: int = LONG_LINE, id_col: str = "doc_id", text_col: str = "text", passage: int | None = None) -> DataFrame:
     """doc_id, n_lines, n_removed and text (what is left) of each row of ``docs``."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("key"))
-    gone = staged(removed_lines(texts, window, long_line), "line-removed").select(F.col("doc_id").alias("i"), F.col("key").alias("k"), "gone")
+    gone = staged(removed_lines(texts, window, long_line, passage), "line-removed").select(F.col("doc_id").alias("i"), F.col("key").alias("k"), "gone")
     joined = texts.join(gone.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("key") == F.col("k")), "left")
     out = joined.select("doc_id", "text", "gone", F.explode(F.array(_split("text"))).alias("lines"))
     kept = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone"))

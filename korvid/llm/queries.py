@@ -113,6 +113,34 @@ def op3_line_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+@_query(
+    "op3_line_passages",
+    r"""
+    WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+    l AS (SELECT doc_id, t, unnest(string_split(t, chr(10))) AS x, generate_subscripts(string_split(t, chr(10)), 1) - 1 AS ln FROM d),
+    f AS (
+      SELECT *, len(regexp_extract_all(x, '[^\x09-\x0D\x1C-\x20\x{85}\p{Z}]+')) AS n, row_number() OVER (PARTITION BY doc_id, t ORDER BY ln) AS i
+      FROM l WHERE length(trim(x)) > 0),
+    w AS (
+      SELECT doc_id, t, i, x || chr(10) || lead(x) OVER o || chr(10) || lead(x, 2) OVER o AS g, [ln, lead(ln) OVER o, lead(ln, 2) OVER o] AS lns
+      FROM f WINDOW o AS (PARTITION BY doc_id, t ORDER BY ln)
+      UNION ALL SELECT doc_id, t, i, CASE WHEN n + lead(n) OVER o >= 50 THEN x || chr(10) || lead(x) OVER o END AS g, [ln, lead(ln) OVER o] AS lns
+      FROM f WINDOW o AS (PARTITION BY doc_id, t ORDER BY ln)
+      UNION ALL SELECT doc_id, t, i, x AS g, [ln] AS lns FROM f WHERE n >= 50),
+    r AS (SELECT doc_id, t, lns, row_number() OVER (PARTITION BY g, len(lns) ORDER BY doc_id NULLS LAST, i) AS k FROM w WHERE g IS NOT NULL),
+    gone AS (SELECT DISTINCT doc_id, t, unnest(lns) AS ln FROM r WHERE k > 1),
+    kept AS (
+      SELECT l.doc_id, l.t, count(*) AS n_lines, count(gone.ln) AS n_removed,
+             coalesce(string_agg(CASE WHEN gone.ln IS NULL THEN l.x END, chr(10) ORDER BY l.ln), '') AS rest
+      FROM l LEFT JOIN gone USING (doc_id, t, ln) GROUP BY l.doc_id, l.t)
+    SELECT doc_id, n_lines, n_removed, sha256(rest) AS kept_sha256 FROM kept
+    """,
+)
+def op3_line_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = lines.dedup_lines(_read(spark, sf_dir, "documents"), passage=lines.PASSAGE)
+    return rows.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
 @_query("op5_pigeonhole_decontamination")
 def op5_pigeonhole_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))

@@ -158,6 +158,30 @@ def test_winnowing_reaches_every_repeated_run(spark):
     assert {x.doc_id: x.text for x in lines.dedup_lines(docs(spark, rows)).collect()} == want
 
 
+def test_passages_over_two_lines_and_any_white_space(spark, tmp_path):
+    a, b, c = prose(21, 23), prose(22, 46), prose(23, 60)
+    tabs, wide = c.replace(" ", "\t"), c.replace(" ", "\u00a0")
+    few, less, gaps = prose(24, 24), prose(25, 25), prose(26, 40).replace(" ", "  ")
+    texts = [(a + "\n" + b, ""), (tabs, ""), (wide, ""), (few + "\n" + less, None), (gaps, None), (f"u\n{a}\n\n{b}\nv", "u\n\nv")]
+    rows = [(i, t) for i, (t, _) in enumerate(texts[:5])] + [(100 + i, t) for i, (t, _) in enumerate(texts)]
+    want = dict(rows[:5]) | {100 + i: t if left is None else left for i, (t, left) in enumerate(texts)}
+    d = docs(spark, rows)
+    assert {r.doc_id: r.text for r in lines.dedup_lines(d, passage=lines.PASSAGE).collect()} == want
+    d.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.kept_sha256 for r in queries.QUERIES["op3_line_passages"](spark, str(tmp_path)).collect()}
+    assert got == {i: hashlib.sha256(t.encode()).hexdigest() for i, t in want.items()}
+
+
+@pytest.mark.parametrize("at", ["sf0.001", "sf0.01"])
+def test_passages_against_their_sql(spark, at):
+    import duckdb
+
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '/root/testdata/{at}/documents.parquet'")
+    got = collect(queries.QUERIES["op3_line_passages"](spark, f"/root/testdata/{at}"))
+    assert got == sorted(con.sql(queries.ORACLE["op3_line_passages"]).fetchall(), key=repr)
+
+
 # 4. HTML.
 
 
