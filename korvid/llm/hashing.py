@@ -17,10 +17,15 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> _U(31))
 
 
-@lru_cache(3)
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE to the powers below n, and their inverses, modulo 2**64."""
-    up, down = np.full(n, BASE, _U), np.full(n, pow(BASE, -1, 1 << 64), _U)
+def base(seed: int) -> int:
+    """An odd number for each seed; BASE for 0."""
+    return BASE if not seed else int(mix(np.array([seed], _U) * _U(M1))[0]) | 1
+
+
+@lru_cache(4)
+def powers(n: int, of: int = BASE) -> tuple[np.ndarray, np.ndarray]:
+    """``of`` to the powers below n, and their inverses, modulo 2**64."""
+    up, down = np.full(n, of, _U), np.full(n, pow(of, -1, 1 << 64), _U)
     up[0] = down[0] = 1
     return np.cumprod(up, dtype=_U), np.cumprod(down, dtype=_U)
 

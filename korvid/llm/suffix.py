@@ -7,16 +7,22 @@ cover they are the anchor's context.
 
 1. Anchors are counted over the corpus by their pieces (combined before the
    shuffle).  An anchor whose piece is nowhere else has no repeated string.
-   Pieces that have one context throughout repeat it as a whole.
+   Pieces that have one context throughout repeat it as a whole.  Contexts are
+   told apart by a 128-bit cryptographic digest of their bytes: no polynomial
+   hash decides that two contexts of different documents are equal.
 2. Pieces with several contexts are where copies begin, end or differ.  One
    sample of each context is fetched, and the suffixes at the anchors are
    sorted: a mergesort whose comparisons find the common extension of two
    suffixes by binary search over prefix polynomial hashes, log(length) steps
    for a comparison.  Neighbours are then compared byte by byte; a collision
-   sorts anew with another hash.  The longest extension shared with a neighbour
-   bounds the strings that can repeat, and those are counted by hash.
-3. A piece with more than ``HOT`` contexts is not gathered: its strings are
-   counted one by one in the cluster, combined before the shuffle.
+   sorts anew with another base.  The longest extension shared with a neighbour
+   bounds the strings that can repeat; those are grouped by hash and every
+   group is compared byte by byte, a collision grouping anew with another base.
+3. The contexts of a piece with more than ``HOT`` are dealt to tasks by ranges,
+   first of the bytes before the anchor, read backwards, then of their suffixes,
+   and sorted there in parts of ``SORT_BYTES``.  Both orders bound the strings
+   that can repeat.  A part knows the repeats among its own strings; one digest
+   for each different string says which others repeat in another part.
 
 The text of a document travels twice, once for samples and once for the result.
 
@@ -37,23 +43,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from korvid.llm.common import pieces, staged, text_bytes
-from korvid.llm.hashing import byte_values, mix, powers
+from korvid.llm.hashing import base, byte_values, mix, powers
 
 LENGTH, GRAM = 400, 32
 #: Starts that are looked at together; a longer text is read in overlapping slices.
 SLICE = 1 << 20
-#: Contexts of one piece that may meet in a task, and bytes of contexts sorted at a time.
-HOT, SORT_BYTES = 4_000, 1 << 20
+#: Contexts of one piece that are gathered in a task, and bytes of contexts sorted at a time.
+HOT, SORT_BYTES = 512, 1 << 20
 _U = np.uint64
 _POS = _U((1 << 23) - 1)
 
 
 class Hashed:
-    """Prefix polynomial hashes of bytes; ``seed`` picks the byte values."""
+    """Prefix polynomial hashes of bytes; ``seed`` picks the base and the byte values."""
 
     def __init__(self, data: np.ndarray, seed: int = 0):
-        up, self.down = powers(1 << max(20, len(data).bit_length()))
-        values = byte_values() if not seed else mix(byte_values() + _U(seed) * _U(0x9E3779B97F4A7C15))
+        up, self.down = powers(1 << max(20, len(data).bit_length()), base(seed))
+        values = byte_values() if not seed else mix(byte_values() + _U(seed * 0x9E3779B97F4A7C15 % (1 << 64)))
         self.h = np.empty(len(data) + 1, _U)
         self.h[0] = 0
         np.cumsum(values[data] * up[: len(data)], out=self.h[1:])
@@ -74,16 +80,22 @@ def sliding_min(a: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(after[: n - w + 1], before[w - 1 : n])
 
 
+def digests(raw: memoryview, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """128-bit digest of each raw[first:end], as two 64-bit numbers."""
+    flat = b"".join(hashlib.blake2b(raw[x:y], digest_size=16).digest() for x, y in zip(first.tolist(), end.tolist()))
+    return np.frombuffer(flat, np.int64).reshape(-1, 2)
+
+
 def anchors(data: np.ndarray, begin: np.ndarray) -> dict[str, np.ndarray] | None:
     """Anchors of texts laid end to end; text i is data[begin[i]:begin[i + 1]].
 
     doc, a (place), lo and hi (first and last start), fp (the piece's hash),
-    t1 and t2 (hashes of the context with its shape).
+    t1 and t2 (digest of the context's bytes, which also fix where its anchor is).
     """
     n = len(data)
     if n < LENGTH:
         return None
-    one, two = Hashed(data), Hashed(data, 1)
+    one = Hashed(data)
     at = np.arange(n - GRAM + 1)
     gram = one.of(at, at + GRAM)
     least = sliding_min((gram & ~_POS) | at.astype(_U), LENGTH - GRAM + 1)
@@ -100,10 +112,10 @@ def anchors(data: np.ndarray, begin: np.ndarray) -> dict[str, np.ndarray] | None
     a = (least[s] & _POS).astype(np.int64)
     new = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (s[1:] != s[:-1] + 1))))
     lo, hi, a = s[new], s[np.append(new[1:], len(s)) - 1], a[new]
-    shape = mix((a - lo).astype(_U) * _U(1009) + (hi - lo).astype(_U))
+    own = digests(memoryview(data), lo, hi + LENGTH)
     return {
         "doc": np.searchsorted(begin, lo, "right") - 1, "a": a, "lo": lo, "hi": hi, "fp": gram[a].view(np.int64),
-        "t1": mix(one.of(lo, hi + LENGTH) ^ shape).view(np.int64), "t2": mix(two.of(lo, hi + LENGTH) + shape).view(np.int64),
+        "t1": own[:, 0], "t2": own[:, 1],
     }
 
 
@@ -178,39 +190,83 @@ def suffix_sort(data: np.ndarray, group: np.ndarray, place: np.ndarray, end: np.
     return order, np.append(lcp, 0)
 
 
-def repeated_starts(rows: list[tuple]) -> list[list[int]]:
-    """For contexts (fp, off, width, n, bytes), sorted by fp, the intervals of starts whose string repeats.
+def longest_shared(rows: list[tuple], partial: bool, back: bool = False) -> np.ndarray:
+    """For contexts (fp, off, width, n, bytes): how far the suffix at the anchor, or the bytes before it
+    read backwards, agree with any other of the piece.
 
-    Intervals are flat: first, last, first, last ...
+    ``partial``: the first and the last in order may have neighbours elsewhere, so theirs is LENGTH.
     """
-    raw = b"".join(r[4] for r in rows)
-    data = np.frombuffer(raw, np.uint8)
-    fp, off, width, n = (np.array([r[k] for r in rows], np.int64) for k in range(4))
-    size = np.array([len(r[4]) for r in rows], np.int64)
-    begin = np.cumsum(size) - size
-    place = begin + off
-    order, lcp = suffix_sort(data, fp, place, np.minimum(begin + size, place + LENGTH))
-    reach = np.empty(len(rows), np.int64)  # longest extension shared with any other suffix of the piece
+    raw = b"".join(r[4][: r[1]][::-1] if back else r[4][r[1] : r[1] + LENGTH] for r in rows)
+    size = np.array([r[1] if back else min(len(r[4]) - r[1], LENGTH) for r in rows], np.int64)
+    end = np.cumsum(size)
+    order, lcp = suffix_sort(np.frombuffer(raw, np.uint8), np.array([r[0] for r in rows], np.int64), end - size, end)
+    reach = np.empty(len(rows), np.int64)
     reach[order] = np.maximum(lcp, np.concatenate(([0], lcp[:-1])))
-    # A string that starts at s has off - s bytes before the anchor and needs the rest after it.
-    limit = np.where(n > 1, width, np.clip(off - (LENGTH - reach) + 1, 0, width))
-    owner = np.repeat(np.arange(len(rows)), limit)
-    start = np.arange(limit.sum()) - np.repeat(np.cumsum(limit) - limit, limit)
-    p = begin[owner] + start
-    a, b = Hashed(data).of(p, p + LENGTH), Hashed(data, 1).of(p, p + LENGTH)
-    key = mix(a ^ mix(b))
-    _, inverse, count = np.unique(key, return_inverse=True, return_counts=True)
-    times = np.bincount(inverse, weights=n[owner], minlength=len(count))[inverse]
-    hit = times > 1
-    out: list[list[int]] = [[] for _ in rows]
-    o, s = owner[hit], start[hit]
-    if len(o):
-        new = np.flatnonzero(np.concatenate(([True], (o[1:] != o[:-1]) | (s[1:] != s[:-1] + 1))))
-        for k, x, y in zip(o[new].tolist(), s[new].tolist(), s[np.append(new[1:], len(s)) - 1].tolist()):
-            out[k] += [x, y]
+    if partial:
+        reach[order[[0, -1]]] = LENGTH
+    return reach
+
+
+class Strings:
+    """The strings of some contexts (fp, off, width, n, bytes) that others can have too, in groups of equal ones.
+
+    owner and start of each, its group, and for each group how often its string
+    stands in the corpus as far as these contexts tell.
+    """
+
+    def __init__(self, rows: list[tuple], right: np.ndarray, left: np.ndarray | None = None):
+        self.raw = b"".join(r[4] for r in rows)
+        data = np.frombuffer(self.raw, np.uint8)
+        off, width, n = (np.array([r[k] for r in rows], np.int64) for k in (1, 2, 3))
+        size = np.array([len(r[4]) for r in rows], np.int64)
+        begin = np.cumsum(size) - size
+        # A string that starts at s has off - s bytes before the anchor and needs the rest after it.
+        low = np.clip(off - left, 0, width) if left is not None else np.zeros(len(rows), np.int64)
+        limit = np.maximum(np.clip(off - (LENGTH - right) + 1, 0, width) - low, 0)
+        self.owner = np.repeat(np.arange(len(rows)), limit)
+        self.start = low[self.owner] + np.arange(limit.sum()) - np.repeat(np.cumsum(limit) - limit, limit)
+        self.place = begin[self.owner] + self.start
+        seed = 0
+        while True:
+            key = Hashed(data, seed).of(self.place, self.place + LENGTH)
+            _, first, self.group = np.unique(key, return_index=True, return_inverse=True)
+            self.first = self.place[first]
+            if self._verified():
+                break
+            seed += 2
+        self.times = np.bincount(self.group, weights=n[self.owner], minlength=len(self.first))
+
+    def _verified(self) -> bool:
+        """Whether each string has the bytes of its group's first one; neighbouring strings are compared together."""
+        p, q = self.place, self.first[self.group]
+        at = np.flatnonzero(p != q)
+        if not len(at):
+            return True
+        p, q = p[at], q[at]
+        new = np.flatnonzero(np.concatenate(([True], (p[1:] != p[:-1] + 1) | (q[1:] != q[:-1] + 1))))
+        more = np.diff(np.append(new, len(p))) + LENGTH - 1
+        view = memoryview(self.raw)
+        return all(view[x : x + m] == view[y : y + m] for x, y, m in zip(p[new].tolist(), q[new].tolist(), more.tolist()))
+
+
+def intervals(rows: list[tuple], owner: np.ndarray, start: np.ndarray) -> list[list[int]]:
+    """For each context the intervals of its starts, flat: first, last, first, last ...; one that is there n times repeats whole."""
+    out: list[list[int]] = [[0, r[2] - 1] if r[3] > 1 else [] for r in rows]
+    if len(owner):
+        new = np.flatnonzero(np.concatenate(([True], (owner[1:] != owner[:-1]) | (start[1:] != start[:-1] + 1))))
+        for k, x, y in zip(owner[new].tolist(), start[new].tolist(), start[np.append(new[1:], len(start)) - 1].tolist()):
+            if rows[k][3] == 1:
+                out[k] += [x, y]
     return out
 
 
+def repeated_starts(rows: list[tuple]) -> list[list[int]]:
+    """For contexts (fp, off, width, n, bytes) of whole pieces, the intervals of starts whose string repeats."""
+    found = Strings(rows, longest_shared(rows, partial=False))
+    hit = found.times[found.group] > 1
+    return intervals(rows, found.owner[hit], found.start[hit])
+
+
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """doc_id, key, fp, t1, t2, n, width: the distinct contexts of each text and how often it has them."""
     for whole in batches:
@@ -268,14 +324,62 @@ def _sorted_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield flush(rows)
 
 
-def _single_strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """t1, t2, start, n and the hashes of each string of each context."""
+CONTEXT = ("fp", "t1", "t2", "off", "width", "n", "ctx")
+
+
+def _parts(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...]) -> Iterator[list[tuple]]:
+    """Rows without neighbours of the same context, in parts of SORT_BYTES."""
+    rows, held, last = [], 0, None
     for batch in batches:
-        for t1, t2, width, n, ctx in zip(*(batch.column(c).to_pylist() for c in ("t1", "t2", "width", "n", "ctx"))):
-            p = np.arange(width)
-            data = np.frombuffer(ctx, np.uint8)
-            h = [x.of(p, p + LENGTH).view(np.int64) for x in (Hashed(data), Hashed(data, 1))]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(width, x)) for x in (t1, t2)] + [pa.array(p), pa.array(np.full(width, n)), *map(pa.array, h)], ["t1", "t2", "s", "n", "h1", "h2"])
+        for row in zip(*(batch.column(c).to_pylist() for c in columns)):
+            if row[:3] == last:
+                continue
+            rows.append(row)
+            held += len(row[6])
+            last = row[:3]
+            if held > SORT_BYTES:
+                yield rows
+                rows, held = [], 0
+    if rows:
+        yield rows
+
+
+def _before(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Contexts with the bytes before their anchors, read backwards."""
+    for batch in batches:
+        turned = [c[:o][::-1] for c, o in zip(batch.column("ctx").to_pylist(), batch.column("off").to_pylist())]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in CONTEXT), pa.array(turned, pa.binary())], [*CONTEXT, "before"])
+
+
+def _left_bounds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Contexts that come sorted by fp and the bytes before, with how far these agree with others'."""
+    for rows in _parts(batches, CONTEXT):
+        reach = longest_shared([(r[0], *r[3:]) for r in rows], partial=True, back=True)
+        kinds = [pa.int64()] * 6 + [pa.binary()]
+        yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(zip(*rows), kinds)), pa.array(reach)], [*CONTEXT, "reach"])
+
+
+def _sorted_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Strings of contexts that come sorted by fp and suffix, a part at a time.
+
+    t1, t2, iv without h1, h2: starts that repeat within their part.  With both:
+    a string that its part has once.  h1, h2, n without t1: one that it has often.
+    """
+    for own in _parts(batches, (*CONTEXT, "reach")):
+        rows = [(r[0], *r[3:7]) for r in own]
+        part = Strings(rows, longest_shared(rows, partial=True), np.array([r[7] for r in own], np.int64))
+        often = part.times > 1
+        known = often[part.group]
+        single = np.flatnonzero(~known)
+        first = np.concatenate((part.place[single], part.first[often]))
+        h = digests(memoryview(part.raw), first, first + LENGTH)
+        whole = [(r[1], r[2], iv) for r, iv in zip(own, intervals(rows, part.owner[known], part.start[known])) if iv]
+        told = [(own[o][1], own[o][2], [x, x]) for o, x in zip(part.owner[single].tolist(), part.start[single].tolist())]
+        t1, t2, iv = zip(*whole, *told, *[(None, None, None)] * int(often.sum())) if whole or told or often.any() else ((), (), ())
+        cols = [pa.array(t1, pa.int64()), pa.array(t2, pa.int64()), pa.array(iv, pa.list_(pa.int32()))]
+        cols += [pa.concat_arrays([pa.nulls(len(whole), pa.int64()), pa.array(h[:, c])]) for c in (0, 1)]
+        n = np.concatenate((np.zeros(len(whole), np.int64), np.ones(len(told), np.int64), np.full(int(often.sum()), 2, np.int64)))
+        yield pa.RecordBatch.from_arrays([*cols, pa.array(n)], ["t1", "t2", "iv", "h1", "h2", "n"])
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -301,19 +405,22 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         merged[-1][1] = max(y, merged[-1][1])
                     else:
                         merged.append([x, y])
-                digest, at = hashlib.sha256(), 0
+                left, at = [], 0
                 for x, y in merged:
-                    digest.update(raw[at:x])
+                    left.append(raw[at:x])
                     at = y
-                digest.update(raw[at:])
-                out.append((len(raw), sum(y - x for x, y in merged), len(merged), digest.hexdigest(), [z for m in merged for z in m]))
-            cols = list(zip(*out)) or [()] * 5
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(cols, kinds))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
+                rest = b"".join([*left, raw[at:]]) if merged else raw
+                out.append((len(raw), sum(y - x for x, y in merged), len(merged), hashlib.sha256(rest).hexdigest(), [z for m in merged for z in m], rest.decode("utf-8", "replace")))
+            cols = list(zip(*out)) or [()] * 6
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()), pa.string()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(cols, kinds))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "text"])
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and spans (flat byte offsets) of each row."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (flat byte offsets) and text (what is left) of each row.
+
+    A cut inside a character leaves bytes that are no UTF-8: U+FFFD in ``text``; the digest is of the bytes.
+    """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("key"))
     long_enough = texts.filter(F.octet_length("text") >= LENGTH)
     rows = staged(long_enough.mapInArrow(_anchor_rows, "doc_id long, key long, fp long, t1 long, t2 long, n long, width long"), "suffix-anchors")
@@ -333,10 +440,16 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     few = samples.join(many, "fp", "left_anti").repartition("fp").sortWithinPartitions("fp", "t1", "t2")
     found = few.mapInArrow(_sorted_groups, "t1 long, t2 long, iv array<int>")
     if not many.isEmpty():
-        hot = samples.join(many, "fp", "left_semi").dropDuplicates(["t1", "t2"]).mapInArrow(_single_strings, "t1 long, t2 long, s long, n long, h1 long, h2 long")
-        twice = hot.groupBy("h1", "h2").agg(F.sum("n").alias("c")).filter("c > 1").select("h1", "h2")
-        starts = hot.join(twice, ["h1", "h2"], "left_semi").groupBy("t1", "t2").agg(F.sort_array(F.collect_list(F.col("s").cast("int"))).alias("s"))
-        found = found.unionByName(starts.select("t1", "t2", F.flatten(F.transform("s", lambda x: F.array(x, x))).alias("iv")))
+        kind = "fp long, t1 long, t2 long, off long, width long, n long, ctx binary"
+        hot = samples.join(many, "fp", "left_semi").select(*CONTEXT).mapInArrow(_before, f"{kind}, before binary")
+        back = hot.repartitionByRange("fp", "before", "t1", "t2").sortWithinPartitions("fp", "before", "t1", "t2").select(*CONTEXT)
+        bounded = staged(back.mapInArrow(_left_bounds, f"{kind}, reach long"), "suffix-bounds").withColumn("suffix", F.expr(f"substring(ctx, CAST(off AS INT) + 1, {LENGTH})"))
+        hot = bounded.repartitionByRange("fp", "suffix", "t1", "t2").sortWithinPartitions("fp", "suffix", "t1", "t2").drop("suffix")
+        parts = staged(hot.mapInArrow(_sorted_parts, "t1 long, t2 long, iv array<int>, h1 long, h2 long, n long"), "suffix-parts")
+        twice = parts.filter("h1 IS NOT NULL").groupBy("h1", "h2").agg(F.sum("n").alias("c")).filter("c > 1").select("h1", "h2")
+        elsewhere = parts.filter("h1 IS NOT NULL AND t1 IS NOT NULL").join(twice, ["h1", "h2"], "left_semi")
+        starts = parts.filter("h1 IS NULL").select("t1", "t2", "iv").unionByName(elsewhere.select("t1", "t2", "iv"))
+        found = found.unionByName(starts.groupBy("t1", "t2").agg(F.flatten(F.collect_list("iv")).alias("iv")))
     found = staged(found, "suffix-found")
 
     # An empty interval list stands for all of the context.
@@ -344,4 +457,4 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     part = active.filter("several").join(found, ["t1", "t2"]).select("doc_id", "key", "t1", "t2", "iv")
     per_doc = whole.unionByName(part).groupBy("doc_id", "key").agg(F.collect_set(F.struct("t1", "t2", "iv")).alias("dup")).withColumnsRenamed({"doc_id": "i", "key": "k"})
     joined = texts.join(per_doc.hint("shuffle_hash"), same, "left").select("doc_id", "text", "dup")
-    return joined.mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<long>")
+    return joined.mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<long>, text string")

@@ -426,6 +426,73 @@ def test_long_texts_are_sliced(spark, monkeypatch):
     assert got == brute.repeated_bytes(rows)
 
 
+def contexts(rows, gap=7):
+    """Contexts of 400 bytes and more around one place of each text, all of one piece."""
+    out = []
+    for k, (raw, at) in enumerate(rows):
+        lo, hi = max(0, at - 400 + suffix.GRAM), min(at, len(raw) - suffix.LENGTH)
+        out.append((1, k, -k, at - lo, hi - lo + 1, 1, raw[lo : hi + suffix.LENGTH]))
+    return out
+
+
+def shared_contexts():
+    common = prose(40, 200).encode()
+    return contexts([(prose(41 + k, 90).encode()[:500] + common[: 300 + 40 * k] + prose(71 + k, 200).encode(), 500) for k in range(6)])
+
+
+def wanted_starts(rows):
+    from collections import Counter
+
+    times = Counter(c[6][s : s + suffix.LENGTH] for c in rows for s in range(c[4]))
+    return [{s for s in range(c[4]) if times[c[6][s : s + suffix.LENGTH]] > 1} for c in rows]
+
+
+def test_equal_hashes_of_different_strings_are_told_apart(monkeypatch):
+    """A hash that sees 2 bits finds groups whose bytes differ; the next base takes over."""
+    real, seeds = suffix.Hashed.of, []
+
+    def weak(self, start, end):
+        seeds.append(self.seed)
+        return real(self, start, end) & np.uint64(3) if not self.seed else real(self, start, end)
+
+    init = suffix.Hashed.__init__
+    monkeypatch.setattr(suffix.Hashed, "__init__", lambda self, data, seed=0: (setattr(self, "seed", seed), init(self, data, seed))[1])
+    monkeypatch.setattr(suffix.Hashed, "of", weak)
+    rows = shared_contexts()
+    got = suffix.repeated_starts([(r[0], *r[3:]) for r in rows])
+    assert [{s for x, y in zip(iv[::2], iv[1::2]) for s in range(x, y + 1)} for iv in got] == wanted_starts(rows)
+    assert {0, 2} <= set(seeds)
+
+
+@pytest.mark.parametrize("size", [700, 2000, 1 << 20])
+def test_sorted_parts_find_what_repeats_across_parts(monkeypatch, size):
+    import pyarrow as pa
+
+    monkeypatch.setattr(suffix, "SORT_BYTES", size)
+    kinds = [pa.int64()] * 6 + [pa.binary()]
+    rows = sorted(shared_contexts(), key=lambda r: r[6][: r[3]][::-1])
+    batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], list(suffix.CONTEXT))
+    (bounded,) = [pa.Table.from_batches(suffix._left_bounds(iter([batch]))).to_pylist()]
+    bounded.sort(key=lambda r: r["ctx"][r["off"] : r["off"] + suffix.LENGTH])
+    out = [r for b in suffix._sorted_parts(iter(pa.Table.from_pylist(bounded).to_batches())) for r in b.to_pylist()]
+    total = {}
+    for r in out:
+        if r["h1"] is not None:
+            total[r["h1"], r["h2"]] = total.get((r["h1"], r["h2"]), 0) + r["n"]
+    got = {r[1]: set() for r in rows}
+    for r in out:
+        if r["t1"] is not None and (r["h1"] is None or total[r["h1"], r["h2"]] > 1):
+            got[r["t1"]] |= {s for x, y in zip(r["iv"][::2], r["iv"][1::2]) for s in range(x, y + 1)}
+    assert [got[r[1]] for r in rows] == wanted_starts(rows)
+    assert size < 1 << 20 or len([r for r in out if r["h1"] is not None]) < 700
+
+
+def test_text_that_is_left(spark):
+    p, q = "é" * 300 + "x" * 10, "ü" * 5
+    got = {r.doc_id: (r.text, r.n_removed) for r in suffix.remove_repeats(docs(spark, [(1, p + q), (2, q + p), (3, None), (4, "short")])).collect()}
+    assert got == {1: (q, 610), 2: (q, 610), 3: ("", 0), 4: ("short", 0)}
+
+
 def test_suffix_sort():
     r = random.Random(8)
     data = np.frombuffer(bytes(r.choice(b"ab") for _ in range(300)), np.uint8)
