@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
+from functools import wraps
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -13,28 +17,67 @@ CHUNK_BYTES = 1 << 20
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster (``spark.checkpoint.dir``); a local one only where it is unset."""
+    """The shared folder of the cluster (``spark.checkpoint.dir``); a local one only where master is local and none is set."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     return (found or "file:///tmp/checkpoints").rstrip("/")
 
 
-_made: list[str] = []
+class Scope:
+    """The folders that were staged for one result.  Deleting them touches no other result's."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folders = spark, []
+
+    def new_folder(self, name: str) -> str:
+        path = f"{work_dir(self.spark)}/korvid/{name}-{uuid.uuid4().hex}"
+        self.folders.append(path)
+        # Whatever nobody has deleted goes when the application ends.
+        fs, p = self._at(path)
+        fs.deleteOnExit(p)
+        return path
+
+    def _at(self, path: str):
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
+
+    def delete(self) -> None:
+        """To be called once what was built on the folders has been written: it is read again if an executor is lost."""
+        while self.folders:
+            fs, p = self._at(self.folders.pop())
+            fs.delete(p, True)
+
+
+_scope: ContextVar[Scope | None] = ContextVar("korvid-scope", default=None)
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[Scope]:
+    """Folders staged inside belong to the yielded scope, which the caller deletes."""
+    own = Scope(spark)
+    mark = _scope.set(own)
+    try:
+        yield own
+    finally:
+        _scope.reset(mark)
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
-    _made.append(f"{work_dir(spark)}/korvid/{name}-{uuid.uuid4().hex}")
-    return _made[-1]
+    return (_scope.get() or Scope(spark)).new_folder(name)
 
 
-def clean_up(spark: SparkSession) -> None:
-    """Delete the folders that this process has made in the shared folder.
+def owned(query: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """A query (spark, sf_dir) whose result has ``release()``: it deletes what was staged for it, once it is written."""
 
-    To be called once the results that were built on them have been written:
-    they are read again if an executor is lost, so no operator deletes them.
-    """
-    while _made:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_made.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    @wraps(query)
+    def run(spark: SparkSession, *args) -> DataFrame:
+        with scope(spark) as own:
+            out = query(spark, *args)
+        out.release = own.delete
+        return out
+
+    return run
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
@@ -46,7 +89,16 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_folder(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete the folders of staged tables that only tables already written were made from."""
+    for f in frames:
+        path = f.sparkSession._jvm.org.apache.hadoop.fs.Path(f.staged_at)
+        path.getFileSystem(f.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def fresh(df: DataFrame, *bases: str) -> list[str]:

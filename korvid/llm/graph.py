@@ -11,13 +11,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from korvid.llm.common import staged
+from korvid.llm.common import discard, staged
 
 
 def _large(e: DataFrame) -> DataFrame:
     both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    return both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+    # Written, so that the join deals both sides anew and the rows of a hub can be split.
+    low = staged(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "edges-low")
+    out = staged(both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct(), "edges-large")
+    discard(low)
+    return out
 
 
 def _small(e: DataFrame) -> DataFrame:
@@ -36,4 +39,7 @@ def components(edges: DataFrame) -> DataFrame:
         if now == mark or not now[0]:
             return e.select(F.greatest("u", "v").alias("node"), F.least("u", "v").alias("root"))
         mark = now
-        e = staged(_small(_large(e)), "edges")
+        large = _large(e)
+        after = staged(_small(large), "edges")
+        discard(e, large)
+        e = after

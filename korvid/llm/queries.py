@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from korvid.llm import bpe, decontaminate, exact, html, lines, near, quality, secrets, suffix, warc
+from korvid.llm.common import owned
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -17,7 +18,7 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def _query(name: str, oracle: str | None = None):
     def add(f):
-        QUERIES[name] = f
+        QUERIES[name] = owned(f)
         if oracle:
             ORACLE[name] = oracle
         return f

@@ -61,14 +61,39 @@ def test_odd_and_empty_pages(spark, tmp_path, name):
         assert queries.QUERIES[name](spark, f"{tmp_path}/{at}").count() == len(r)
 
 
-def test_clean_up(spark):
+def test_each_result_releases_its_own_folders(spark):
     from korvid.llm import common
 
-    common.staged(spark.range(3), "x")
-    at = common._made[-1].removeprefix("file://")
-    assert os.path.isdir(at)
-    common.clean_up(spark)
-    assert not os.path.exists(at) and not common._made
+    with common.scope(spark) as one:
+        kept = common.staged(spark.range(3), "x")
+    made = common.owned(lambda s: common.staged(s.range(5), "y").filter("id > 1"))(spark)
+    with common.scope(spark) as two:
+        gone = common.staged(spark.range(2), "z")
+        common.discard(gone)
+    at = lambda folders: [os.path.isdir(f.removeprefix("file://")) for f in folders]
+    assert at(one.folders) == [True] and at(two.folders) == [False] and made.count() == 3
+    made.release()
+    with pytest.raises(Exception):
+        made.count()
+    assert kept.count() == 3
+    folders = list(one.folders)
+    one.delete()
+    assert at(folders) == [False] and not one.folders
+
+
+def test_no_local_folder_on_a_cluster():
+    from types import SimpleNamespace as Of
+
+    from korvid.llm import common
+
+    def at(master, folder=None):
+        conf = Of(get=lambda k, d=None: folder)
+        return common.work_dir(Of(sparkContext=Of(master=master, getConf=lambda: conf), conf=conf))
+
+    assert at("local[4]") == "file:///tmp/checkpoints" and at("yarn", "hdfs:///x/") == "hdfs:///x"
+    for master in ("yarn", "local-cluster[2,1,1024]", "spark://a:1"):
+        with pytest.raises(ValueError):
+            at(master)
 
 
 # 1. WARC.
