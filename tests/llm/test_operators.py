@@ -554,10 +554,32 @@ def test_secrets_against_brute_force(spark):
         assert [x for x in got[i].spans.split(",") if x and not x.startswith("opaque")] == base
 
 
+def test_secrets_many_matches_in_one_text(spark):
+    r = random.Random(3)
+    text = " ".join(f"{r.getrandbits(96):024x}" + "é" * (i % 3) for i in range(16_000))
+    assert len(text) > 400_000
+    (got,) = secrets.digest_columns(secrets.scan(docs(spark, [(1, text)]))).collect()
+    assert (got.n_hex, got.base_sha256) == (16_000, brute.base_sha(text))
+
+
 def test_secrets_ownership(spark):
+    """Texts are repositories and sources owners: copies of a text count once, an example in many texts of one source is copied."""
     rows = [(i, f"token = {'copiedexample' if i < 6 else 'owneronly'}{'' if i < 6 else i}") for i in range(9)]
-    got = {r.doc_id: (r.n_live, r.n_copied) for r in secrets.digest_columns(secrets.scan(docs(spark, rows))).collect()}
-    assert got == {i: (0, 1) if i < 6 else (1, 0) for i in range(9)}
+    rows += [(9 + 3 * i, f"text {i} with token = oneownersexample") for i in range(5)] + [(39 + 3 * i, "one text with token = thesametextagain") for i in range(5)]
+    scanned = secrets.scan(docs(spark, rows))
+    got = {r.doc_id: (r.n_live, r.n_copied) for r in secrets.digest_columns(scanned).collect()}
+    assert got == {i: (1, 0) if 6 <= i < 9 or i >= 39 else (0, 1) for i, _ in rows}
+    counts = {r.doc_id: (r.spans[0].n_repos, r.spans[0].n_owners) for r in scanned.collect()}
+    assert [counts[i] for i in (0, 6, 9, 39)] == [(1, 3), (1, 1), (5, 1), (1, 1)]
+
+
+def test_no_secret_is_written(spark):
+    from korvid.llm import common
+
+    with common.scope(spark) as own:
+        secrets.scan(docs(spark, [(1, "token = veryplainvalue")]))
+    written = b"".join(open(f"{d}/{n}", "rb").read() for f in own.folders for d, _, names in os.walk(f.removeprefix("file://")) for n in names)
+    assert written and b"veryplainvalue" not in written
 
 
 # No operator takes Python code where it is to be native.
