@@ -16,13 +16,18 @@ Defined results: null html is an empty page; a page without content gives an
 empty text; rows may repeat; null ids and urls are passed on; other columns are
 ignored; an empty table gives no rows.  White space is what str.split takes.  A
 line break inside a block is white space; table rows are blocks, their cells
-are set apart by a space.
+are set apart by a space.  References are decoded within one run of text, never
+across markup.  A tag whose quote is never closed ends at its first ``>``; a tag
+that is never closed takes the rest of the page, as in browsers.  MathML and the
+fallbacks of embedded media are text; drawings, templates and raw elements are
+not.  Reading takes time linear in the page, however its tags are broken.
 """
 
 from __future__ import annotations
 
 import random
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 from html import unescape
@@ -39,8 +44,12 @@ NEVER = -1e9
 
 # Element names of HTML by how they are read, and hint words by topic.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript textarea title template iframe noembed noframes xmp svg math canvas object video audio select datalist".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var nobr".split())
+RAW = frozenset("script style textarea title iframe noembed noframes xmp".split())
+#: Not shown either, but parsed as markup: without an end tag only the tag itself goes.
+UNSEEN = frozenset("template svg annotation annotation-xml".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var nobr".split()) | frozenset(
+    "canvas object video audio math merror mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms msqrt mstyle msub msubsup msup mtext munder munderover semantics".split()
+)
 CLOSES = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
     "thead": {"tr", "td", "th"}, "tbody": {"thead", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"}, "body": {"head"},
@@ -49,7 +58,7 @@ STOPS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}
 GROUPS = {
     "article": "article", "main": "main", "nav": "nav", "menu": "nav", "header": "header", "footer": "footer", "aside": "aside", "section": "section", "div": "div",
     "p": "p", "h1": "h1", "h2": "h2", "h3": "h2", "h4": "h2", "h5": "h2", "h6": "h2", "ul": "ul", "ol": "ul", "dl": "ul", "li": "li", "dt": "li", "dd": "li",
-    "form": "form", "fieldset": "form", "button": "form", "label": "form", "legend": "form", "input": "form", "table": "table", "thead": "table", "tbody": "table", "tr": "table",
+    "form": "form", "fieldset": "form", "select": "form", "datalist": "form", "option": "form", "optgroup": "form", "button": "form", "label": "form", "legend": "form", "input": "form", "table": "table", "thead": "table", "tbody": "table", "tr": "table",
     "td": "table", "th": "table", "figure": "figure", "figcaption": "figure", "blockquote": "quote", "pre": "quote", "a": "a", "html": "root", "body": "root", "head": "head", "dialog": "aside", "address": "footer",
 }
 GROUP_NAMES = sorted(set(GROUPS.values())) + ["span", "other"]
@@ -69,7 +78,16 @@ HINTS = {
 HINT_OF = {w: k for k, (_, ws) in enumerate(HINTS.items()) for w in ws.split()}
 HIDDEN = list(HINTS).index("hidden")
 
-TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?/][^>]*>?", re.S)
+
+
+def _token(quotes: str) -> re.Pattern:
+    """Comments, tags and declarations; a tag ends at a ``>`` outside ``quotes``, at a quote without its pair, or with the page."""
+    inside = "".join(f"|{q}[^{q}]*{q}" for q in quotes)
+    return re.compile(rf"<!--.*?(?:--!?>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>{quotes}]{inside})*+)(>|\Z{'|[' + quotes + ']' if quotes else ''})|<[!?/][^>]*>?", re.S)
+
+
+#: By the quotes that still have pairs ahead.
+TOKENS = {q: _token(q) for q in ("\"'", "\"", "'", "")}
 ATTR = re.compile(r"([^\s=\"'/>]+)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)")
 PART = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
 
@@ -95,66 +113,106 @@ def hints(attrs: str) -> tuple[int, str | None]:
     return bits, label
 
 
+class Open:
+    """The open elements, outermost first, with the places of each tag."""
+
+    def __init__(self):
+        self.tags, self.nodes, self.at, self.floors = ["#root"], [0], {}, [0]
+
+    def push(self, tag: str, node: int) -> None:
+        self.at.setdefault(tag, []).append(len(self.tags))
+        if tag not in INLINE:
+            self.floors.append(len(self.tags))
+        self.tags.append(tag)
+        self.nodes.append(node)
+
+    def cut(self, k: int) -> None:
+        """Close element ``k`` and all inside it."""
+        while len(self.tags) > k:
+            self.nodes.pop()
+            self.at[self.tags.pop()].pop()
+            if self.floors[-1] == len(self.tags):
+                self.floors.pop()
+
+    def end(self, tag: str) -> None:
+        """An end tag closes the innermost element of its name; an inline one only inside the innermost block."""
+        where = self.at.get(tag)
+        if where and (tag not in INLINE or where[-1] > self.floors[-1]):
+            self.cut(where[-1])
+
+    def imply(self, tag: str) -> None:
+        """Close what the start of ``tag`` closes: an open paragraph, list item, cell or row."""
+        if self.tags[self.floors[-1]] == "p":
+            self.cut(self.floors[-1])
+        if tag in CLOSES:
+            stop = max((w[-1] for x in STOPS[tag] if (w := self.at.get(x))), default=0)
+            low = [w[i] for x in CLOSES[tag] if (w := self.at.get(x)) and (i := bisect_right(w, stop)) < len(w)]
+            if low:
+                self.cut(min(low))
+
+
 class Page:
     """Nodes in page order (parents first) and the text chunks that belong to them."""
 
     def __init__(self, source: str):
         self.tag, self.parent, self.bits, self.label = ["#root"], [-1], [0], [None]
         self.chunks: list[tuple[int, str, int, bool]] = []  # node, text, block, inside a link
-        stack, block, link, at = [("#root", 0)], 0, 0, 0
+        stack, block, link, at, quotes, ends = Open(), 0, 0, 0, "\"'", {}
         while True:
-            m = TOKEN.search(source, at)
+            m = TOKENS[quotes].search(source, at)
             text = source[at : m.start() if m else len(source)]
             if text:
-                self.chunks.append((stack[-1][1], text, block, link > 0))
+                self.chunks.append((stack.nodes[-1], text, block, link > 0))
             if not m:
                 break
             at = m.end()
             if m[2] is None:
                 continue
-            tag = m[2].lower()
+            tag, attrs = m[2].lower(), m[3]
+            if m[4] in ("\"", "'"):
+                # No pair for this quote ahead: it no longer counts, and the tag is read again without it.
+                quotes, at = quotes.replace(m[4], ""), m.start()
+                continue
+            if not m[4]:
+                break
             if m[1]:
                 if tag == "a":
                     link = 0
-                inline = tag in INLINE
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] == tag:
-                        del stack[k:]
-                        break
-                    if inline and stack[k][0] not in INLINE:
-                        break
-                if not inline:
+                stack.end(tag)
+                if tag not in INLINE:
                     block += 1
                     link = 0
                 continue
             if tag in VOID:
                 if tag == "hr":
                     block += 1
-                elif tag in ("br", "wbr") and tag == "br":
-                    self.chunks.append((stack[-1][1], " ", block, False))
+                elif tag == "br":
+                    self.chunks.append((stack.nodes[-1], " ", block, False))
                 continue
-            if tag in RAW:
-                if not m[3].endswith("/") or tag in ("script", "style", "title", "textarea"):
-                    end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?", re.I).search(source, at)
-                    at = end.end() if end else len(source)
+            if tag in RAW or tag in UNSEEN and not attrs.endswith("/"):
+                if ends.get(tag, 0) is not None:
+                    end = ends[tag] = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?", re.I).search(source, at)
+                    at = end.end() if end else at
+                if ends[tag] is None and tag in RAW:
+                    break
                 continue
             if tag in INLINE:
                 link += tag == "a"
-                if "=" not in m[3] and "hidden" not in m[3]:
+                if "=" not in attrs and "hidden" not in attrs:
                     continue
-                bits, label = hints(m[3])
+                bits, label = hints(attrs)
                 if not bits and label is None:
                     continue
-                stack.append((tag, self._add(tag, stack[-1][1], bits, label)))
+                stack.push(tag, self._add(tag, stack.nodes[-1], bits, label))
                 continue
-            self._imply(tag, stack)
+            stack.imply(tag)
             if tag in ("td", "th"):
-                self.chunks.append((stack[-1][1], " ", block, False))
+                self.chunks.append((stack.nodes[-1], " ", block, False))
             else:
                 block += 1
             link = 0
-            bits, label = hints(m[3]) if m[3] else (0, None)
-            stack.append((tag, self._add(tag, stack[-1][1], bits, label)))
+            bits, label = hints(attrs) if attrs else (0, None)
+            stack.push(tag, self._add(tag, stack.nodes[-1], bits, label))
 
     def _add(self, tag: str, parent: int, bits: int, label: str | None) -> int:
         self.tag.append(tag)
@@ -163,24 +221,6 @@ class Page:
         self.label.append(label)
         return len(self.tag) - 1
 
-    @staticmethod
-    def _imply(tag: str, stack: list) -> None:
-        """Close what the start of ``tag`` closes: an open paragraph, list item, cell or row."""
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k][0] == "p":
-                del stack[k:]
-                break
-            if stack[k][0] not in INLINE:
-                break
-        if tag in CLOSES:
-            closes, stops, low = CLOSES[tag], STOPS[tag], len(stack)
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] in stops:
-                    break
-                if stack[k][0] in closes:
-                    low = k
-            del stack[low:]
-
     def features(self) -> np.ndarray:
         """One row for each node."""
         n = len(self.tag)
@@ -262,9 +302,9 @@ class Page:
             if block != last:
                 blocks.append("".join(parts))
                 parts, last = [], block
-            parts.append(text)
+            parts.append(unescape(text))
         blocks.append("".join(parts))
-        clean = (" ".join(unescape(b).split()) for b in blocks)
+        clean = (" ".join(b.split()) for b in blocks)
         return "\n\n".join(b for b in clean if b)
 
 

@@ -220,6 +220,106 @@ def test_html_main_text():
     assert got[1] == "" and got[3] == ""
 
 
+def article(inner):
+    return f"<html><body><nav><ul><li><a href=/>Home</a><li><a href=/x>News</a></ul></nav><article><h1>Title of it</h1><p>{prose(9, 60)}</p>{inner}<p>{prose(10, 60)}</p></article><footer><p>&copy; Site</p></footer></body></html>"
+
+
+@pytest.mark.parametrize(
+    "inner, want",
+    [
+        ("<p>a&am<b>p;lt;</b> and more words here</p>", "a&amp;lt; and more words here"),
+        ("<p>N &#65<i>6</i> &amp; &eacute;&#x41; of it</p>", "N A6 & éA of it"),
+        ("<p>see <a title=\"open>link</a> for more of it</p>", "see link for more of it"),
+        ("<p>see <a title='x>y'>link</a> for <b title=\"a>b\">more</b> of it</p>", "see link for more of it"),
+        ("<p>so <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds for all of it</p>", "so x=2 holds for all of it"),
+        ("<p>film <video src=x>your reader shows no films</video> end of it</p>", "film your reader shows no films end of it"),
+        ("<p>one <svg><title>icon</title><path d=x /></svg> two of it</p><p>an <svg unclosed three of it</p>", None),
+        ("<p>a <script>if (a<b) {}</script>b <style>p>a{}</style>c of it <template><p>t</p></template></p>", "a b c of it"),
+        ("<p>x < y and 3 <4 of it <3</p>", "x < y and 3 <4 of it <3"),
+    ],
+)
+def test_html_text_of_broken_and_rare_markup(inner, want):
+    (got,) = html.main_texts([article(inner)], html.model())
+    blocks = got.split("\n\n")
+    assert blocks[:2] == ["Title of it", prose(9, 60)]
+    if want is not None:
+        assert blocks == ["Title of it", prose(9, 60), want, prose(10, 60)]
+
+
+@pytest.mark.parametrize(
+    "unit", ["<a ", "<a title=\"", "<a '>' ", "<a \" '", "<p><b class=ad>", "</b></i></p></x>", "<ul><div><li>", "<!-- ", "<![CDATA[", "&", "<script", "<svg>", "<title", "<td>", "<a b='", "<div", "</div "]
+)
+def test_html_hostile_pages_of_a_megabyte_take_linear_time(unit):
+    import time
+
+    began = time.process_time()
+    page = html.Page(article(unit * ((1 << 20) // len(unit))))
+    page.features()
+    assert time.process_time() - began < 25
+
+
+def test_html_deep_pages():
+    page = html.Page("<i><div>" + "<b class=ad>" * 50_000 + "</i>" * 50_000 + "x</div><ul>" + "<div>" * 50_000 + "<li>" * 50_000 + "y")
+    assert [t for _, t, _, _ in page.chunks] == ["x", "y"]
+
+
+def plain_blocks(source):
+    """Texts of well-formed composed pages by their known roles: an element tree by the standard library's parser."""
+    from html.parser import HTMLParser
+
+    class Reader(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.open, self.blocks, self.new = [("#", 0)], [], True
+
+        def handle_starttag(self, tag, attrs):
+            if tag in html.VOID:
+                if tag == "br" and not self.new:
+                    self.blocks[-1] += " "
+                return
+            while tag in ("p", "li", "ul", "div", "h1", "h2", "h3", "table", "blockquote", "section", "aside", "form", "nav", "header", "footer", "figure", "pre", "article", "dialog", "ol") and self.open[-1][0] in ("p", "b"):
+                self.open.pop()
+            if tag == "li" and self.open[-1][0] == "li":
+                self.open.pop()
+            known = dict(attrs).get("data-role-known")
+            if tag not in html.INLINE:
+                self.new = self.new or tag not in ("td", "th")
+                if tag in ("td", "th") and not self.new:
+                    self.blocks[-1] += " "
+            self.open.append((tag, int(known) if known else self.open[-1][1]))
+
+        def handle_endtag(self, tag):
+            names = [t for t, _ in self.open]
+            if tag in names:
+                del self.open[len(names) - 1 - names[::-1].index(tag) :]
+            if tag not in html.INLINE and tag not in ("td", "th"):
+                self.new = True
+
+        def handle_data(self, data):
+            if self.open[-1][1] == html.CONTENT:
+                if self.new:
+                    self.blocks.append("")
+                self.new = False
+                self.blocks[-1] += data
+
+    r = Reader()
+    r.feed(source)
+    r.close()
+    return [b for b in (" ".join(x.split()) for x in r.blocks) if b]
+
+
+def test_html_text_by_known_roles_against_a_plain_reader():
+    """Reading, decoding of references and joining of blocks, with roles given, on pages with and without <article>."""
+    r = random.Random(77)
+    for k in range(60):
+        source = html.sample_page(r)
+        page = html.Page(source)
+        role = np.zeros(len(page.tag), np.int64)
+        for i in range(1, len(role)):
+            role[i] = int(page.label[i]) if page.label[i] is not None else role[page.parent[i]]
+        assert page.text(role).replace("\n\n", " ") == " ".join(plain_blocks(source)), k
+
+
 def test_html_training_pages_held_out():
     r, good = random.Random(12345), 0
     for _ in range(60):
