@@ -183,6 +183,14 @@ def test_winnowing_reaches_every_repeated_run(spark):
     assert {x.doc_id: x.text for x in lines.dedup_lines(docs(spark, rows)).collect()} == want
 
 
+def test_line_matches_extend_to_whole_runs(spark):
+    rows = [(1, "a\n\nb\nc\nd\ne\nf"), (2, "x\nb\nc\n\nd\ne\ny\nk\nl\nm\nn"), (3, "k\nl\nm\nq\na\nb\nc\nd\ne\nf"), (4, "k\nl\nm\nn")]
+    got = {r.doc_id: ([tuple(x) for x in r.runs or ()], r.text) for r in lines.dedup_lines(docs(spark, rows)).collect()}
+    assert got == {
+        1: ([], rows[0][1]), 2: ([(1, 4, 1, 1)], "x\n\ny\nk\nl\nm\nn"), 3: ([(4, 9, 1, 0), (0, 2, 2, 6)], "q"), 4: ([(0, 3, 2, 6)], "")
+    }
+
+
 def test_passages_over_two_lines_and_any_white_space(spark, tmp_path):
     a, b, c = prose(21, 23), prose(22, 46), prose(23, 60)
     tabs, wide = c.replace(" ", "\t"), c.replace(" ", "\u00a0")
