@@ -36,6 +36,28 @@ def collect(df, key="doc_id"):
 ODD = [(1, None), (2, ""), (3, " \n\t "), (None, "a lone text"), (4, "x"), (5, "x"), (5, "x"), (6, "é" * 50)]
 
 
+def sha(text):
+    return hashlib.sha256((text or "").encode()).hexdigest()
+
+
+#: Columns and rows that the docstrings define for ODD.
+ODD_RESULTS = {
+    "op3_line_winnowing": (("doc_id", "n_lines", "n_removed", "kept_sha256"), [(i, 1 + (t or "").count("\n"), 0, sha(t)) for i, t in ODD]),
+    "op6_exact_dedup": (
+        ("doc_id", "keep_id", "group_size", "kept"),
+        [(1, 2, 2, False), (2, 2, 2, True), (3, 3, 1, True), (None, None, 1, True), (4, 5, 3, False), (5, 5, 3, True), (5, 5, 3, False), (6, 6, 1, True)],
+    ),
+    "op7_byte_bpe": (("doc_id", "decoded_sha256"), [(i, sha(t)) for i, t in ODD]),
+    "op8_minhash_near_dedup": (
+        ("doc_id", "n_shingles", "component_id", "kept"),
+        [(1, 0, 1, True), (2, 0, 2, True), (3, 0, 3, True), (None, 1, None, True), (4, 1, 4, True), (5, 1, 4, False), (5, 1, 4, False), (6, 1, 6, True)],
+    ),
+    "op9_suffix_repeats": (("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text"), [(i, len((t or "").encode()), 0, 0, sha(t), t or "") for i, t in ODD]),
+    "op10_secret_scan": (("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"), [(i, 0, 0, 0, sha(""), "") for i, _ in ODD]),
+    "op2_quality_bradley_terry": (("doc_id",), [(i,) for i, _ in ODD]),
+}
+
+
 @pytest.mark.parametrize("name", ["op3_line_winnowing", "op5_pigeonhole_decontamination", "op6_exact_dedup", "op7_byte_bpe", "op8_minhash_near_dedup", "op9_suffix_repeats", "op10_secret_scan", "op2_quality_bradley_terry"])
 def test_odd_and_empty_tables(spark, tmp_path, name):
     """Nulls, empty texts, repeated rows, clashing extra columns, and no rows at all."""
@@ -47,6 +69,9 @@ def test_odd_and_empty_tables(spark, tmp_path, name):
         frame(spark, [(1, 1, 0), (4, 0, 0), (None, 1, 0), (7, None, 1), (99, 1, 0)] if rows else [], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/{at}/labels.parquet")
         frame(spark, [(1, "an item of some words"), (2, None), (3, ""), (None, "a lone text")] if rows else [], "item_id long, text string").write.parquet(f"{tmp_path}/{at}/benchmark.parquet")
         got = queries.QUERIES[name](spark, f"{tmp_path}/{at}").collect()
+        if rows and name in ODD_RESULTS:
+            columns, want = ODD_RESULTS[name]
+            assert sorted((tuple(r[c] for c in columns) for r in got), key=repr) == sorted(want, key=repr)
         if name == "op5_pigeonhole_decontamination":
             assert [tuple(r)[:3] for r in got] == ([(None, None, 0)] if rows else [])
         else:
