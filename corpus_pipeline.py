@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from korvid.llm import bpe, decontaminate, exact, near, quality
-from korvid.llm.common import staged
+from korvid.llm.common import discard, scope, staged
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,10 +53,22 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply STAGES to the documents of ``sf_dir``, written and read again between stages."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = staged(docs, f"pipeline-{k}")
-    return docs
+    """Apply STAGES to the documents of ``sf_dir``, written and read again between stages.
+
+    What a stage has staged goes once its result is written, and that result
+    once the next one is; ``release()`` of the last one deletes the rest.
+    """
+    with scope(spark) as kept:
+        docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+        for k, (_, stage) in enumerate(STAGES):
+            with scope(spark) as own:
+                out = stage(spark, docs, sf_dir)
+            if k == len(STAGES) - 1:
+                kept.folders += own.folders
+                break
+            before, docs = docs, staged(out, f"pipeline-{k}")
+            own.delete()
+            if k:
+                discard(before)
+    out.release = kept.delete
+    return out
