@@ -1,13 +1,11 @@
 """Line dedup by winnowing over line hashes.  DataFrame functions only.
 
-A run of ``WINDOW`` lines, or one line of ``LONG_LINE`` words, that occurs
-earlier in the corpus is deleted where it occurs again.  Order is by doc_id
-(null last), then the text's hash, then place.  Blank lines belong to no run
-and stay.
-
-With ``passage`` words a run is any sequence of equal lines that has ``WINDOW``
-lines or so many words together, split on all white space.  Longer sequences
-consist of windows of WINDOW lines, so only shorter ones are windows of their own.
+A run is any sequence of equal lines that has ``WINDOW`` lines, or ``PASSAGE``
+words together, split on all white space.  A run that occurs earlier in the
+corpus is deleted where it occurs again.  Order is by doc_id (null last), then
+the text's hash, then place.  Blank lines belong to no run and stay.  Longer
+runs consist of windows of WINDOW lines, so only shorter ones with enough words
+are windows of their own.
 
 1. Each window of line hashes selects its least one: that is its fingerprint.
    Equal windows select the same, so no repeated run of WINDOW lines is missed.
@@ -35,7 +33,7 @@ from pyspark.sql import functions as F
 
 from korvid.llm.common import discard, staged
 
-WINDOW, LONG_LINE, PASSAGE = 3, 50, 50
+WINDOW, PASSAGE = 3, 50
 #: A word: characters other than control and Unicode white space.
 WORD = r"[^\x09-\x0D\x1C-\x20\x{85}\p{Z}]+"
 
@@ -49,15 +47,11 @@ def _digest(x: Column) -> Column:
     return F.unhex(F.substring(F.sha2(x, 256), 1, 32))
 
 
-def windows(docs: DataFrame, window: int = WINDOW, long_line: int = LONG_LINE, passage: int | None = None) -> DataFrame:
+def windows(docs: DataFrame, window: int = WINDOW, passage: int = PASSAGE) -> DataFrame:
     """doc_id, key and wins: structs of place i among the lines that are not blank, n lines, p and fp
     (selected position and hash) and w (digest of the window)."""
-
-    def words(x: Column) -> Column:
-        return F.regexp_count(x, F.lit(WORD)) if passage else F.length(x) - F.length(F.translate(x, " ", "")) + 1
-
     numbered = F.filter(
-        F.transform(_split("text"), lambda x: F.struct(F.xxhash64(x).alias("h"), _digest(x.cast("binary")).alias("d"), words(x).alias("words"), (F.length(F.trim(x)) == 0).alias("blank"))),
+        F.transform(_split("text"), lambda x: F.struct(F.xxhash64(x).alias("h"), _digest(x.cast("binary")).alias("d"), F.regexp_count(x, F.lit(WORD)).alias("words"), (F.length(F.trim(x)) == 0).alias("blank"))),
         lambda s: ~s["blank"],
     )
     # A generated column is computed once; a projected one would be computed anew for each line.
@@ -71,25 +65,19 @@ def windows(docs: DataFrame, window: int = WINDOW, long_line: int = LONG_LINE, p
             _digest(F.concat(*[F.get("ls", i + k)["d"] for k in range(n)])).alias("w"),
         )
 
-    def single(s: Column, i: Column) -> Column:
-        return F.struct(i.alias("i"), F.lit(1).alias("n"), i.alias("p"), s["h"].alias("fp"), _digest(s["d"]).alias("w"))
-
     def short(n: int) -> Column:
         total = lambda i: sum((F.get("ls", i + k)["words"] for k in range(1, n)), F.get("ls", i)["words"])
         return F.filter(F.transform(F.sequence(F.lit(0), F.col("m") - n), lambda i: F.when(total(i) >= passage, run(i, n))), lambda x: x.isNotNull())
 
     none = F.array().cast("array<struct<i:int,n:int,p:int,fp:bigint,w:binary>>")
     runs = F.when(F.col("m") >= window, F.transform(F.sequence(F.lit(0), F.col("m") - window), lambda i: run(i))).otherwise(none)
-    if passage:
-        return d.select("doc_id", "key", F.concat(runs, *[F.when(F.col("m") >= n, short(n)).otherwise(none) for n in range(1, window)]).alias("wins"))
-    long = F.filter(F.transform("ls", lambda s, i: F.when(s["words"] >= long_line, single(s, i))), lambda x: x.isNotNull())
-    return d.select("doc_id", "key", F.concat(runs, long).alias("wins"))
+    return d.select("doc_id", "key", F.concat(runs, *[F.when(F.col("m") >= n, short(n)).otherwise(none) for n in range(1, window)]).alias("wins"))
 
 
-def repeated_runs(docs: DataFrame, window: int = WINDOW, long_line: int = LONG_LINE, passage: int | None = None) -> DataFrame:
+def repeated_runs(docs: DataFrame, window: int = WINDOW, passage: int = PASSAGE) -> DataFrame:
     """doc_id, key and runs of the documents that lose any lines: structs of first and last (places among
     the lines that are not blank), from_doc and from_first (where the run stands first)."""
-    wins = staged(windows(docs, window, long_line, passage).filter(F.size("wins") > 0), "line-windows")
+    wins = staged(windows(docs, window, passage).filter(F.size("wins") > 0), "line-windows")
     selected = wins.select("doc_id", "key", F.explode(F.array_distinct(F.transform("wins", lambda x: F.struct(x["p"].alias("p"), x["fp"].alias("fp"))))).alias("s"))
     # What is joined to rows below is written before, so that the join deals both sides anew and the
     # rows of a common fingerprint or window can be split.
@@ -115,10 +103,10 @@ def repeated_runs(docs: DataFrame, window: int = WINDOW, long_line: int = LONG_L
     return parted.select("doc_id", "key", F.transform("begins", run).alias("runs"))
 
 
-def dedup_lines(docs: DataFrame, window: int = WINDOW, long_line: int = LONG_LINE, id_col: str = "doc_id", text_col: str = "text", passage: int | None = None) -> DataFrame:
+def dedup_lines(docs: DataFrame, window: int = WINDOW, passage: int = PASSAGE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_lines, n_removed, text (what is left) and runs (see :func:`repeated_runs`) of each row of ``docs``."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("key"))
-    gone = staged(repeated_runs(texts, window, long_line, passage), "line-runs").select(F.col("doc_id").alias("i"), F.col("key").alias("k"), "runs")
+    gone = staged(repeated_runs(texts, window, passage), "line-runs").select(F.col("doc_id").alias("i"), F.col("key").alias("k"), "runs")
     joined = texts.join(gone.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("key") == F.col("k")), "left")
     out = joined.select("doc_id", "text", "runs", F.explode(F.array(_split("text"))).alias("lines"))
     # Numbers of the lines that are not blank, then of those in runs.

@@ -224,9 +224,9 @@ def test_passages_over_two_lines_and_any_white_space(spark, tmp_path):
     rows = [(i, t) for i, (t, _) in enumerate(texts[:5])] + [(100 + i, t) for i, (t, _) in enumerate(texts)]
     want = dict(rows[:5]) | {100 + i: t if left is None else left for i, (t, left) in enumerate(texts)}
     d = docs(spark, rows)
-    assert {r.doc_id: r.text for r in lines.dedup_lines(d, passage=lines.PASSAGE).collect()} == want
+    assert {r.doc_id: r.text for r in lines.dedup_lines(d).collect()} == want
     d.write.parquet(f"{tmp_path}/documents.parquet")
-    got = {r.doc_id: r.kept_sha256 for r in queries.QUERIES["op3_line_passages"](spark, str(tmp_path)).collect()}
+    got = {r.doc_id: r.kept_sha256 for r in queries.QUERIES["op3_line_winnowing"](spark, str(tmp_path)).collect()}
     assert got == {i: hashlib.sha256(t.encode()).hexdigest() for i, t in want.items()}
 
 
@@ -236,8 +236,8 @@ def test_passages_against_their_sql(spark, at):
 
     con = duckdb.connect()
     con.sql(f"CREATE VIEW documents AS SELECT * FROM '/root/testdata/{at}/documents.parquet'")
-    got = collect(queries.QUERIES["op3_line_passages"](spark, f"/root/testdata/{at}"))
-    assert got == sorted(con.sql(queries.ORACLE["op3_line_passages"]).fetchall(), key=repr)
+    got = collect(queries.QUERIES["op3_line_winnowing"](spark, f"/root/testdata/{at}"))
+    assert got == sorted(con.sql(queries.ORACLE["op3_line_winnowing"]).fetchall(), key=repr)
 
 
 # 4. HTML.
