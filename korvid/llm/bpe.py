@@ -15,7 +15,13 @@ of a piece, which is a chain of states along a run of apostrophe contractions;
 the chain is resolved by composing transition functions (two states, so a
 function is two bits) with a doubling scan.
 
-Nothing here depends on Spark; :func:`encode_table` applies it to a table.
+Nothing but :func:`encode_table`, which applies this to a table, depends on
+Spark.
+
+Defined results: null or empty text has 0 tokens and the digests of nothing;
+each row is encoded by itself, so repeated rows and ids have a row each and a
+null id stays null; texts of any length are encoded whole; other columns,
+whatever their names, are not looked at; an empty table gives no rows.
 """
 
 from __future__ import annotations

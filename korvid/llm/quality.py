@@ -8,14 +8,16 @@ mapped to 0..1 so that this quantile falls on ``CUT``.
 Features come from the whole text: shares of letters, capitals, digits, symbols
 and white space, repeated words and lines, word and line lengths.  Each is
 clipped to the range seen in training and expanded at quantile knots, which
-lets a linear score bend.  The fit sees at most ``MAX_LABELLED`` labelled rows,
-drawn by the hash of the id; the bound limits memory at the driver
-(``MAX_LABELLED`` rows of ``len(NAMES)`` floats), not what is scored.
+lets a linear score bend.  The fit sees at most ``MAX_LABELLED`` different
+labels (id and mark), drawn by the hash of the id, each with one document's
+features; the bound limits memory at the driver (``MAX_LABELLED`` rows of
+``len(NAMES)`` floats), not what is scored.
 
 Defined results: null text is empty text; every row gets a score, repeated rows
 the same one; without labels of both kinds every document scores CUT; labels
-without a document, null labels and other columns are ignored; an empty table
-gives no rows.
+without a document, null labels and other columns are ignored; a label that is
+repeated counts once, an id marked both ways counts as each; of documents that
+share a labelled id the least features count; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -91,7 +93,8 @@ class Ranker:
         return np.hstack([z, bent])
 
     def raw(self, x: np.ndarray) -> np.ndarray:
-        return self.expand(x) @ self.weights
+        # Row by row: a matrix product may differ in the last bit with the rows around.
+        return (self.expand(x) * self.weights).sum(1)
 
     def score(self, x: np.ndarray) -> np.ndarray:
         """0 to 1; CUT exactly at the accepted quantile."""
@@ -163,16 +166,16 @@ def fold(doc_id: Column) -> Column:
 
 
 def sample(labels: DataFrame, label_col: str = "quality", held_out: int | None = None, limit: int = MAX_LABELLED) -> DataFrame:
-    """doc_id and y of at most ``limit`` labelled rows, those whose ids hash lowest; fold ``held_out`` is left out."""
-    rows = labels.filter(F.col("doc_id").isNotNull() & F.col(label_col).isin(0, 1)).select("doc_id", F.col(label_col).alias("y"))
+    """doc_id and y of at most ``limit`` different labels, those whose ids hash lowest; fold ``held_out`` is left out."""
+    rows = labels.filter(F.col("doc_id").isNotNull() & F.col(label_col).isin(0, 1)).select("doc_id", F.col(label_col).alias("y")).distinct()
     if held_out is not None:
         rows = rows.filter(fold(F.col("doc_id")) != held_out)
     return staged(rows.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(limit), "quality-sample")
 
 
-def train(feats: DataFrame, some: DataFrame, limit: int = MAX_LABELLED) -> Ranker | None:
-    """Fit on the rows of ``feats`` that ``some`` labels; ``some`` has at most ``limit`` rows, so it is broadcast."""
-    got = feats.join(F.broadcast(some), "doc_id").orderBy("doc_id", "y").select("x", "y").limit(2 * limit).toArrow()
+def train(feats: DataFrame, some: DataFrame) -> Ranker | None:
+    """Fit on one row of ``feats`` for each label of ``some``, which :func:`sample` bounds, so it is broadcast."""
+    got = feats.join(F.broadcast(some), "doc_id").groupBy("doc_id", "y").agg(F.min("x").alias("x")).orderBy("doc_id", "y").select("x", "y").toArrow()
     if not got.num_rows:
         return None
     x = got.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, len(NAMES)).astype(np.float64)

@@ -1,6 +1,7 @@
 """Plain versions of the operators, for small inputs."""
 
 import hashlib
+import math
 import re
 from collections import defaultdict
 
@@ -90,3 +91,63 @@ def edit_distance_within(pattern, text):
             new.append(min(row[j - 1] + (p != t), row[j] + 1, new[-1] + 1))
         row = new
     return min(row)
+
+
+def quality_features(text):
+    """The features of one text by plain counting, in the order of quality.NAMES."""
+    raw = (text or "").encode()
+    n = len(raw)
+    if not n:
+        return [0.0] * 20
+    chars = [chr(b) if b < 128 else None for b in raw]
+    count = lambda ok: sum(1 for c in chars if c is not None and ok(c))
+    letters, high = count(str.isalpha), chars.count(None)
+    blank = count(lambda c: c in " \t\r\n\x0b\x0c")
+    words, lines = raw.split(), raw.split(b"\n")
+    w, full = max(1, len(words)), [x for x in lines if x]
+    return [
+        math.log1p(n),
+        math.log1p(len(words)),
+        math.log1p(len(lines) - 1),
+        (letters + high) / n,
+        count(str.isupper) / max(1.0, letters + high),
+        count(str.isdigit) / n,
+        count(lambda c: "!" <= c <= "~" and not c.isalnum()) / n,
+        chars.count("|") / w,
+        chars.count("!") / w,
+        high / n,
+        blank / n,
+        (n - blank) / w,
+        len([x for x in words if len(x) > 15]) / w,
+        math.log1p(n / len(lines)),
+        len(set(words)) / w / (1 + math.log1p(w) / 20),
+        len([k for k in range(1, len(words)) if words[k] == words[k - 1]]) / w,
+        1 - len(set(full)) / max(1, len(full)),
+        max(raw.count(bytes([b])) for b in set(raw)) / n,
+        count(lambda c: c in ".?;,") / w,
+        count(lambda c: c in "#$%&*@~^") / w,
+    ]
+
+
+def quality_score(model, x, cut):
+    """The score of one row of features under a fitted model, feature by feature."""
+    z = [(min(max(v, lo), hi) - lo) / max(hi - lo, 1e-9) for v, lo, hi in zip(x, model.low, model.high)]
+    terms = z + [max(v - k, 0.0) for v, knots in zip(z, model.knots) for k in knots]
+    s = (sum(t * w for t, w in zip(terms, model.weights)) - model.centre) / model.scale
+    return 1 / (1 + math.exp(-(min(max(s, -30), 30) + math.log(cut / (1 - cut)))))
+
+
+def bradley_terry(rows, marks, steps=300, rate=2.0):
+    """Weights by plain gradient steps over every pair of a better and a worse row."""
+    better, worse = [r for r, m in zip(rows, marks) if m], [r for r, m in zip(rows, marks) if not m]
+    w = [0.0] * len(rows[0])
+    score = lambda r: sum(a * b for a, b in zip(r, w))
+    for _ in range(steps):
+        up, down = [score(r) for r in better], [score(r) for r in worse]
+        lost = [[1 / (1 + math.exp(min(max(a - b, -30), 30))) for b in down] for a in up]
+        of_better, of_worse = [sum(x) for x in lost], [sum(x) for x in zip(*lost)]
+        pairs = len(better) * len(worse)
+        for k in range(len(w)):
+            pull = sum(p * r[k] for p, r in zip(of_better, better)) - sum(p * r[k] for p, r in zip(of_worse, worse))
+            w[k] += rate * pull / pairs
+    return w

@@ -5,6 +5,7 @@ import hashlib
 import os
 import random
 import re
+import zlib
 
 import numpy as np
 import pytest
@@ -168,6 +169,44 @@ def test_quality_held_out_accuracy(spark):
     assert (seen.predicted == seen.quality).mean() > 0.95 and got.filter("score < 0 OR score > 1 OR score IS NULL").count() == 0
 
 
+def test_quality_against_a_plain_version(spark, sf):
+    """Folds, features, scores and predictions of every document, by plain counting and one label after another."""
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    marks = sorted((r.doc_id, r.quality) for r in spark.read.parquet(f"{sf}/labels.parquet").collect() if r.doc_id in texts)
+    out = {i: zlib.crc32(str(i).encode()) % 4 == 2 for i in texts}
+    x = {i: [float(np.float32(v)) for v in brute.quality_features(t)] for i, t in texts.items()}
+    used = [(x[i], y) for i, y in marks if not out[i]]
+    model = quality.fit(np.array([a for a, _ in used]), np.array([y for _, y in used]))
+    got = {r.doc_id: r for r in queries.QUERIES["op2_quality_bradley_terry"](spark, sf).collect()}
+    assert set(got) == set(texts)
+    for i, r in got.items():
+        want = brute.quality_score(model, x[i], 0.7)
+        assert r.score == pytest.approx(want, abs=1e-6) and r.held_out == out[i] and r.predicted == int(r.score >= 0.7)
+
+
+def test_quality_pairs_against_plain_gradient_steps(spark, sf):
+    """The fit orders as many pairs of a better and a worse document rightly as plain steps over all pairs do."""
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    rows = [(brute.quality_features(texts[r.doc_id]), r.quality) for r in spark.read.parquet(f"{sf}/labels.parquet").collect() if r.doc_id in texts]
+    x, y = np.array([a for a, _ in rows]), np.array([b for _, b in rows])
+    model = quality.fit(x, y)
+    plain = np.array(brute.bradley_terry(model.expand(x).tolist(), y.tolist(), steps=60))
+
+    def right(s):
+        return (s[y == 1][:, None] > s[y == 0][None]).mean()
+
+    assert right(model.raw(x)) >= right(model.expand(x) @ plain) - 0.01
+
+
+def test_quality_repeated_labels_and_rows_count_once(spark):
+    rows = [(i, prose(i, 60)) for i in range(40)] + [(100 + i, "## $$ %% " * (20 + i)) for i in range(40)]
+    marks = [(i, 1) for i in range(30)] + [(100 + i, 0) for i in range(30)]
+    once, often = (
+        {r.doc_id: r.score for r in quality.scores(docs(spark, d), frame(spark, m, "doc_id long, quality int")).collect()} for d, m in ((rows, marks), (rows + rows[:50], marks * 3))
+    )
+    assert once == often
+
+
 def test_quality_order_is_learned():
     r = np.random.default_rng(1)
     x = r.normal(size=(400, len(quality.NAMES)))
