@@ -39,7 +39,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from korvid.llm.common import pieces, text_bytes
+from korvid.llm.common import lean, pieces, text_bytes
+from korvid.llm.hashing import powers
 
 OTHER, LETTER, NUMBER, SPACE = 0, 1, 2, 3
 #: Pieces that the merge cache holds; it starts anew when full.
@@ -48,8 +49,8 @@ CACHE_PIECES = 400_000
 LONG_PIECE = 64
 #: No pair of tokens has this rank.
 NONE = 1 << 60
-#: Odd multipliers of the piece hash.
-BASE, MIX = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
+#: Odd multiplier of the piece hash.
+MIX = 0xD6E8FEB86659FD93
 
 # The white-space code points of Unicode (property White_Space), and the
 # endings of the pattern's contractions.
@@ -298,14 +299,6 @@ class Encoder:
         return self.pool[np.repeat(self.offsets[tok] - at[:-1], self.sizes[tok]) + np.arange(at[-1])].tobytes()
 
 
-@lru_cache(2)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The hash base's powers below n and their inverses, modulo 2**64."""
-    base, inverse = np.full(n, BASE, np.uint64), np.full(n, pow(BASE, -1, 1 << 64), np.uint64)
-    base[0] = inverse[0] = 1
-    return np.cumprod(base, dtype=np.uint64), np.cumprod(inverse, dtype=np.uint64)
-
-
 def _distinct(cp: np.ndarray, at: np.ndarray, width: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Indexes of distinct pieces, and for each piece which of them it equals.
 
@@ -313,7 +306,7 @@ def _distinct(cp: np.ndarray, at: np.ndarray, width: np.ndarray) -> tuple[np.nda
     with the one that stands for it, and any that differs stands for itself.
     """
     n = len(cp)
-    up, down = _powers(1 << max(20, (n - 1).bit_length()))
+    up, down = powers(1 << max(16, n.bit_length()))
     v = (cp.astype(np.uint64) + np.uint64(1)) * np.uint64(MIX)
     v ^= v >> np.uint64(29)
     h = np.concatenate((np.zeros(1, np.uint64), np.cumsum(v * up[:n], dtype=np.uint64)))
@@ -375,4 +368,4 @@ def encode_table(docs: DataFrame, ranks_file: str, id_col: str = "doc_id", text_
                     names += ["ids", "piece_starts"]
                 yield pa.RecordBatch.from_arrays(cols, names)
 
-    return docs.selectExpr(f"`{id_col}` AS doc_id", f"`{text_col}` AS text").mapInArrow(run, schema)
+    return docs.selectExpr(f"`{id_col}` AS doc_id", f"`{text_col}` AS text").mapInArrow(lean(run), schema)

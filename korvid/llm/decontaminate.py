@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from korvid.llm.common import pieces, staged
+from korvid.llm.common import lean, pieces, staged
 
 #: Share of an item's words that may be edited.
 ERROR = 0.2
@@ -163,7 +163,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, error: float = ERROR, id_col:
                 cols = list(zip(*rows)) or [()] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], [x.split()[0] for x in schema.split(", ")])
 
-        found = found.unionByName(texts.mapInArrow(run, schema))
+        found = found.unionByName(texts.mapInArrow(lean(run), schema))
     return found
 
 
@@ -180,5 +180,5 @@ def clean(docs: DataFrame, benchmark: DataFrame, error: float = ERROR, text_col:
                 for batch in pieces(whole.rename_columns([str(i) for i in range(len(names))]), str(at)):
                     yield batch.filter(pa.array([not m.find(t.as_py()) for t in batch.column(at)], pa.bool_())).rename_columns(names)
 
-        docs = docs.mapInArrow(run, schema)
+        docs = docs.mapInArrow(lean(run), schema)
     return docs

@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from korvid.llm import hashing
-from korvid.llm.common import discard, fresh, pieces, staged, text_bytes
+from korvid.llm.common import discard, fresh, lean, pieces, staged, text_bytes
 from korvid.llm.graph import components
 
 BANDS, ROWS = 40, 5
@@ -69,7 +69,7 @@ def class_table(docs: DataFrame, words: int) -> DataFrame:
                 ]
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "key", "n", "sid", "bands"])
 
-    return docs.mapInArrow(run, "doc_id long, key long, n long, sid binary, bands array<long>")
+    return docs.mapInArrow(lean(run), "doc_id long, key long, n long, sid binary, bands array<long>")
 
 
 def _set_table(texts: DataFrame, words: int) -> DataFrame:
@@ -81,7 +81,7 @@ def _set_table(texts: DataFrame, words: int) -> DataFrame:
                 sets = hashing.shingle_sets(text_bytes(batch.column("text")), words)
                 yield pa.RecordBatch.from_arrays([batch.column("cid"), pa.array([s.tobytes() for s in sets], pa.binary())], ["cid", "set"])
 
-    return texts.mapInArrow(run, "cid long, set binary")
+    return texts.mapInArrow(lean(run), "cid long, set binary")
 
 
 def _compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -114,7 +114,7 @@ def _compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             cols = list(zip(*out)) or [(), (), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["x", "y", "common", "whole"])
 
-    return rows.repartition("x", "salt").sortWithinPartitions("x", "salt", "k").select("x", "k", "y", "set").mapInArrow(run, "x long, y long, common long, whole long")
+    return rows.repartition("x", "salt").sortWithinPartitions("x", "salt", "k").select("x", "k", "y", "set").mapInArrow(lean(run), "x long, y long, common long, whole long")
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -280,7 +280,7 @@ def _across(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         yield batch_of(flush(held))
 
     ordered = rows.repartition("b", "i", "j").sortWithinPartitions("b", "i", "j").select("b", "i", "j", "blk", "cid", "comp", "bands", "set")
-    return ordered.mapInArrow(run, "u long, v long")
+    return ordered.mapInArrow(lean(run), "u long, v long")
 
 
 def _sets_of(mixed: DataFrame, classes: DataFrame, texts: DataFrame, words: int) -> DataFrame:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from korvid.llm.common import CHUNK_BYTES, pieces, staged, text_bytes
+from korvid.llm.common import CHUNK_BYTES, lean, pieces, staged, text_bytes
 
 #: Score from which a document is accepted.
 CUT = 0.7
@@ -157,7 +157,7 @@ def feature_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 x = [features(r) for r in text_bytes(batch.column("text"))]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(x, pa.list_(pa.float32()))], ["doc_id", "x"])
 
-    return docs.selectExpr(f"`{id_col}` AS doc_id", f"`{text_col}` AS text").mapInArrow(run, "doc_id long, x array<float>")
+    return docs.selectExpr(f"`{id_col}` AS doc_id", f"`{text_col}` AS text").mapInArrow(lean(run), "doc_id long, x array<float>")
 
 
 def fold(doc_id: Column) -> Column:
@@ -194,7 +194,7 @@ def _map_scores(docs: DataFrame, model: Ranker | None, source: str) -> DataFrame
                 s = model.score(x.flatten().to_numpy(zero_copy_only=False).reshape(-1, len(NAMES)).astype(np.float64)) if len(x) else np.zeros(0)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(s, pa.float64())], ["doc_id", "score"])
 
-    return docs.select("doc_id", F.col(source).alias("x")).mapInArrow(run, "doc_id long, score double")
+    return docs.select("doc_id", F.col(source).alias("x")).mapInArrow(lean(run), "doc_id long, score double")
 
 
 def scores(docs: DataFrame, labels: DataFrame, held_out: int | None = 2) -> DataFrame:
@@ -226,4 +226,4 @@ def accepted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
                     batch = batch.filter(pa.array(model.score(x) >= CUT))
                 yield batch.rename_columns(names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
